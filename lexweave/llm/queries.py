@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, mixing, rules, sstable
+from . import bpe_count, decontaminate, mixing, near_dup, rules, sstable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(_table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op6_contaminated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -30,8 +38,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op4_token_shards": op4_token_shards,
     "op5_token_counts": op5_token_counts,
+    "op6_contaminated_spans": op6_contaminated_spans,
     "op8_quality_rules": op8_quality_rules,
     "op10_mix_sources": op10_mix_sources,
 }
