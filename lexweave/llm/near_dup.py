@@ -39,20 +39,24 @@ def registers(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return out.reshape(n, BUCKETS)
 
 
+#: Where an empty bucket borrows: the first that isn't empty of an order of its own, so that the registers of a band
+#: stand for different shingles even where a text has few.
+PROBES = np.stack([np.concatenate([[j], np.random.default_rng(1000 + j).permutation(np.delete(np.arange(BUCKETS), j))]) for j in range(BUCKETS)])
+
+
 def filled(regs: np.ndarray) -> np.ndarray:
-    """Registers as banded: an empty bucket borrows the next one that isn't, changed by the distance."""
-    n = len(regs)
-    twice = np.concatenate([regs, regs], axis=1) > 0
-    at = np.where(twice, np.arange(2 * BUCKETS), 4 * BUCKETS)
-    at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BUCKETS]
-    gap = at - np.arange(BUCKETS)
-    value = np.take_along_axis(regs, at % BUCKETS, axis=1).astype(np.uint64)
-    return value + (gap.astype(np.uint64) << np.uint64(32)) if n else value
+    """Registers as banded, without empty ones."""
+    out = regs.copy()
+    for i in range(0, len(regs), 64):
+        part = regs[i : i + 64]
+        first = (part > 0)[:, PROBES].argmax(axis=2)
+        out[i : i + 64] = np.take_along_axis(part, PROBES[np.arange(BUCKETS), first], axis=1)
+    return out
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """(n, BANDS) keys; equal where all registers of the band are."""
-    f = mix(filled(regs))
+    f = mix(filled(regs).astype(np.uint64))
     key = np.zeros((len(regs), BANDS), np.uint64)
     for j in range(ROWS):
         key = key * np.uint64(RADIX) + f[:, ORDERS[:, j]]
@@ -79,16 +83,18 @@ def expected_collisions(n: int, m: int) -> float:
     return total * BUCKETS
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Jaccard of pairs from their raw registers (rows), less what chance adds; n, m: their distinct shingles."""
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard of pairs from their raw registers (rows), less what chance adds, and how many buckets tell of it.
+    n, m: their distinct shingles."""
     same = ((a == b) & (a > 0)).sum(axis=1)
-    either = ((a > 0) | (b > 0)).sum(axis=1)
+    either = np.maximum(1, ((a > 0) | (b > 0)).sum(axis=1))
+
     def rough(k: int) -> int:  # three figures are more than the correction needs
         e = 10 ** max(0, len(str(k)) - 3)
         return k // e * e
 
     chance = np.array([expected_collisions(rough(x), rough(y)) for x, y in zip(n.tolist(), m.tolist(), strict=True)])
-    return np.maximum(0.0, same - chance) / np.maximum(1, either)
+    return np.maximum(0.0, same - chance) / either, either
 
 
 def distinct_hashes(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,21 +152,22 @@ def signatures(docs: DataFrame) -> DataFrame:
     return pruned(docs, "doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(sign, "doc_id bigint, digest binary, n int, regs binary, bands array<bigint>")
 
 
-def _estimated(pairs: DataFrame, sig: DataFrame, least: float) -> DataFrame:
-    """The pairs(a, b) whose estimate reaches `least`."""
+def _estimated(pairs: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
+    """The pairs(a, b) whose estimate is above the threshold or within three of its standard errors below."""
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             for i in range(0, t.num_rows, 4096):
                 p = t.slice(i, 4096)
                 x, y = (np.frombuffer(b"".join(p.column(k).to_pylist()), np.uint32).reshape(-1, BUCKETS) for k in (2, 3))
-                good = estimate(x, y, np.asarray(p.column(4)), np.asarray(p.column(5))) >= least
+                value, buckets = estimate(x, y, np.asarray(p.column(4)), np.asarray(p.column(5)))
+                good = value >= threshold - 3 * np.sqrt(threshold * (1 - threshold) / buckets)
                 yield pa.RecordBatch.from_arrays([p.column(0).filter(pa.array(good)), p.column(1).filter(pa.array(good))], names=["a", "b"])
 
     one = sig.select(F.col("doc_id").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"))
     two = sig.select(F.col("doc_id").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb"))
     # Sets of very different size can't reach the threshold: |smaller| / |larger| bounds the Jaccard index.
-    sized = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(THRESHOLD)
+    sized = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(float(threshold))
     return pairs.join(one, "a").join(two, "b").where(sized).select("a", "b", "ra", "rb", "na", "nb").mapInArrow(judge, "a bigint, b bigint")
 
 
@@ -210,7 +217,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     are candidates. In each bucket all are first compared with the least (a star, so a group of thousands costs
     thousands of comparisons, not millions), and components of the verified pairs are taken; (3) then every pair of
     a bucket that is still in different components is compared as well, so that no candidate is left out. A comparison is
-    the corrected estimate from registers, and for what is within four standard errors of the threshold or
+    the corrected estimate from registers, and for what is within three standard errors of the threshold or
     above, the exact index.
     """
     ids = pruned(docs, "doc_id", "text").where("doc_id IS NOT NULL")
@@ -222,10 +229,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     keyed = first.select("doc_id", F.explode("bands").alias("key"))
     around = Window.partitionBy("key")
     shared = saved(keyed.withColumn("size", F.count("*").over(around)).withColumn("head", F.min("doc_id").over(around)).where("size > 1").select("key", "doc_id", "head"), "buckets")
-    sigma = float(np.sqrt(threshold * (1 - threshold) / BUCKETS))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        likely = saved(_estimated(pairs, regs, threshold - 4 * sigma), "likely")
+        likely = saved(_estimated(pairs, regs, threshold), "likely")
         return _verified(likely, ids, threshold).select("a", "b")
 
     stars = shared.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
