@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import RADIX, Words, chunks, mix, shingles
-from .work import drop, pruned, saved
+from .work import drop, pruned, saved, sent_if_small
 
 SHINGLE = 3
 THRESHOLD = 0.5
@@ -193,14 +193,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
             good = pa.array(j >= threshold)
             yield pa.RecordBatch.from_arrays([t.column(0).filter(good), t.column(1).filter(good), pa.array(j).filter(good)], names=["a", "b", "jaccard"])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = docs.join(needed, "doc_id", "left_semi").select("doc_id", "text")
-    # Of rows that repeat an identifier, the one that `near_duplicates` signed isn't known here: the least text stands for it.
+    needed = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
+    own = docs.join(sent_if_small(needed), "doc_id", "left_semi").select("doc_id", "text")
+    # Rows that repeat an identifier count as one document, its least text.
     shingled = saved(own.groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(sets, "doc_id bigint, s binary"), "shingles")
     one = shingled.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     two = shingled.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     out = saved(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(judge, "a bigint, b bigint, jaccard double"), "verified")
     drop(shingled)
+    drop(needed)
     return out
 
 
@@ -222,13 +223,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     ids = pruned(docs, "doc_id", "text").where("doc_id IS NOT NULL")
     sig = saved(signatures(ids), "signatures")
-    copies = saved(sig.select("doc_id", "digest").distinct().withColumn("root", F.min("doc_id").over(Window.partitionBy("digest"))).select("doc_id", "root").where("doc_id <> root").distinct(), "copies")
-    first = sig.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
-    # A repeated doc_id with other words has a row each: all of its band keys count.
-    regs = saved(first.groupBy("doc_id").agg(F.min(F.struct("n", "regs")).alias("x")).select("doc_id", "x.n", "x.regs"), "registers")
-    keyed = first.select("doc_id", F.explode("bands").alias("key"))
+    near = Window.partitionBy("digest")
+    copies = sig.select("doc_id", "digest").withColumn("root", F.min("doc_id").over(near)).where("doc_id <> root").select("doc_id", "root")
+    copies = saved(copies.distinct(), "copies")
+    # Copies share all their keys: in each bucket the least doc_id of a digest stands for them, found in the bucket's own shuffle.
     around = Window.partitionBy("key")
-    shared = saved(keyed.withColumn("size", F.count("*").over(around)).withColumn("head", F.min("doc_id").over(around)).where("size > 1").select("key", "doc_id", "head"), "buckets")
+    keyed = sig.select("doc_id", F.xxhash64("digest").alias("dg"), F.explode("bands").alias("key")).repartition("key")
+    single = keyed.groupBy("key", "dg").agg(F.min("doc_id").alias("doc_id"))
+    shared = single.withColumn("size", F.count("*").over(around)).withColumn("head", F.min("doc_id").over(around)).where("size > 1")
+    shared = saved(shared.select("key", "doc_id", "head"), "buckets")
+    partnered = saved(shared.select("doc_id").distinct(), "partnered")
+    regs = saved(sig.select("doc_id", "n", "regs").join(sent_if_small(partnered), "doc_id", "left_semi"), "registers")
 
     def compared(pairs: DataFrame) -> DataFrame:
         likely = saved(_estimated(pairs, regs, threshold), "likely")
@@ -247,7 +252,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     groups = components(every)
     kept = groups.select(F.col("root").alias("doc_id"), F.col("root").alias("group_id")).distinct()
     out = groups.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), F.lit(False).alias("keep")).unionByName(kept.withColumn("keep", F.lit(True)))
-    for t in (sig, regs, shared, mixed):
+    for t in (sig, copies, partnered, regs, shared, mixed, edges):
         drop(t)
     return out
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,3 +56,12 @@ def pruned(df: DataFrame, *names: str) -> DataFrame:
         if n not in fields:
             raise ValueError(f"column {n!r} is missing; there are {fields}")
     return df.select(*[df[f"`{n}`"] for n in names])
+
+
+#: Rows of one identifier that are sent to every executor at most; beyond it both sides are shuffled.
+MOST_SENT = 1_000_000
+
+
+def sent_if_small(ids: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """A narrow written table, marked for broadcast once it has been counted and found small."""
+    return F.broadcast(ids) if ids.count() <= most else ids
