@@ -16,17 +16,23 @@ from .work import drop, pruned, saved, sent_if_small
 
 SHINGLE = 3
 THRESHOLD = 0.5
-#: 2**P buckets; a register keeps a count of leading zeros (6 bits) and R bits of mantissa.
-P, R = 7, 26
+#: 2**P buckets; a register keeps a count of leading zeros (6 bits) and R bits of mantissa: two bytes.
+P, R = 7, 10
 BUCKETS = 1 << P
-ROWS = 4  # registers in a band
-BANDS = 2 * BUCKETS // ROWS  # each register is in two bands, by two orders of the buckets
-ORDERS = np.concatenate([np.arange(BUCKETS), np.random.default_rng(5).permutation(BUCKETS)]).reshape(BANDS, ROWS)
+#: Registers in a band, and orders of the buckets that are cut into bands. A pair shares a band with chance
+#: 1 - (1 - J ** ROWS) ** BANDS: 0.91 at a Jaccard index of 0.5, 0.98 at 0.55, and 0.02 at 0.2.
+ROWS, SHUFFLES = 5, 3
+BANDS = SHUFFLES * (BUCKETS // ROWS)
+ORDERS = np.concatenate([np.random.default_rng(5 + k).permutation(BUCKETS)[: BUCKETS // ROWS * ROWS] for k in range(SHUFFLES)]).reshape(BANDS, ROWS)
+#: Standard errors that an estimate may lie below the threshold and still be verified.
+MARGIN = 1.5
+#: Pairs of one document that one task verifies; more of them are dealt to several, each with the document's text.
+FAN = 4096
 
 
 def registers(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """(n, BUCKETS) registers of each text's shingle hashes; 0 is an empty bucket, a larger register a smaller hash."""
-    out = np.zeros(n * BUCKETS, np.uint32)
+    out = np.zeros(n * BUCKETS, np.uint16)
     bucket = (h >> np.uint64(64 - P)).astype(np.int64)
     rest = h << np.uint64(P)
     # Leading zeros of the 64 - P bits that are left, through the exponent of a double (exact: the top 53 bits decide).
@@ -34,7 +40,7 @@ def registers(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     exponent = np.frexp(top.astype(np.float64))[1]  # 53 for a set top bit, 0 for none
     zeros = np.minimum(53 - exponent, 62).astype(np.uint64)
     mantissa = (rest << zeros << np.uint64(1)) >> np.uint64(64 - R)
-    register = ((zeros + np.uint64(1)) << np.uint64(R) | (np.uint64((1 << R) - 1) - mantissa)).astype(np.uint32)
+    register = ((zeros + np.uint64(1)) << np.uint64(R) | (np.uint64((1 << R) - 1) - mantissa)).astype(np.uint16)
     np.maximum.at(out, doc * BUCKETS + bucket, register)
     return out.reshape(n, BUCKETS)
 
@@ -116,8 +122,12 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
 
+def _registers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BUCKETS)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n, regs, bands) of every row that has a doc_id and a word."""
+    """(doc_id, digest, n, regs) of every row of docs(doc_id, text) that has a word."""
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,71 +147,198 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for k, t in enumerate(two):
                     np.cumsum(mix(w.hash + mix(place.astype(np.uint64) * np.uint64(2) + np.uint64(k))), out=t[1:])
                 digest = np.stack([t[w.at[1:]] - t[w.at[:-1]] for t in two], axis=1)[have]
-                keys = band_keys(regs)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).slice(i, len(part)).take(pa.array(have)),
-                        _binary(digest),
-                        pa.array(count[have].astype(np.int32)),
-                        _binary(regs),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel())),
-                    ],
-                    names=["doc_id", "digest", "n", "regs", "bands"],
-                )
+                cols = [b.column(0).slice(i, len(part)).take(pa.array(have)), _binary(digest), pa.array(count[have].astype(np.int32)), _binary(regs)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "n", "regs"])
+
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, digest binary, n int, regs binary")
+
+
+def banded(sig: DataFrame) -> DataFrame:
+    """(key, doc_id): BANDS rows of each signature."""
+
+    def band(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                ids = np.asarray(b.column(0).slice(i, 2048))
+                keys = band_keys(_registers(b.column(1).slice(i, 2048)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, BANDS))], names=["key", "doc_id"])
 
-    return pruned(docs, "doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(sign, "doc_id bigint, digest binary, n int, regs binary, bands array<bigint>")
+    return sig.select("doc_id", "regs").mapInArrow(band, "key bigint, doc_id bigint")
+
+
+def _likely(value: np.ndarray, buckets: np.ndarray, threshold: float) -> np.ndarray:
+    return value >= threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / buckets)
+
+
+ESTIMATED = "a bigint, b bigint, estimate float"
+
+
+def _rows(a: np.ndarray, b: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(value.astype(np.float32))], names=["a", "b", "estimate"])
 
 
 def _estimated(pairs: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
-    """The pairs(a, b) whose estimate is above the threshold or within three of its standard errors below."""
+    """(a, b, estimate) of the pairs(a, b) whose estimate reaches the threshold less MARGIN standard errors."""
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             for i in range(0, t.num_rows, 4096):
                 p = t.slice(i, 4096)
-                x, y = (np.frombuffer(b"".join(p.column(k).to_pylist()), np.uint32).reshape(-1, BUCKETS) for k in (2, 3))
-                value, buckets = estimate(x, y, np.asarray(p.column(4)), np.asarray(p.column(5)))
-                good = value >= threshold - 3 * np.sqrt(threshold * (1 - threshold) / buckets)
-                yield pa.RecordBatch.from_arrays([p.column(0).filter(pa.array(good)), p.column(1).filter(pa.array(good))], names=["a", "b"])
+                value, buckets = estimate(_registers(p.column(2)), _registers(p.column(3)), np.asarray(p.column(4)), np.asarray(p.column(5)))
+                good = _likely(value, buckets, threshold)
+                yield _rows(np.asarray(p.column(0))[good], np.asarray(p.column(1))[good], value[good])
 
     one = sig.select(F.col("doc_id").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"))
     two = sig.select(F.col("doc_id").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb"))
     # Sets of very different size can't reach the threshold: |smaller| / |larger| bounds the Jaccard index.
     sized = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(float(threshold))
-    return pairs.join(one, "a").join(two, "b").where(sized).select("a", "b", "ra", "rb", "na", "nb").mapInArrow(judge, "a bigint, b bigint")
+    return pairs.join(one, "a").join(two, "b").where(sized).select("a", "b", "ra", "rb", "na", "nb").mapInArrow(judge, ESTIMATED)
+
+
+def _estimated_across(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, estimate), a < b, of the likely pairs of members(key, doc_id, root, n, regs) that share a key and differ in root.
+
+    A bucket's registers are compared where they lie; only pairs that pass leave the task."""
+
+    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def compared(ids, root, n, regs) -> Iterator[pa.RecordBatch]:
+            for i in range(len(ids) - 1):
+                j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i])))
+                if not len(j):
+                    continue
+                # A bound without the correction first: it only lowers an estimate.
+                same = ((regs[j] == regs[i]) & (regs[i] > 0)).sum(axis=1)
+                j = j[same >= (threshold - MARGIN * 0.5 / np.sqrt(np.maximum(1, np.count_nonzero(regs[i])))) * np.count_nonzero(regs[i])]
+                if len(j):
+                    value, buckets = estimate(np.broadcast_to(regs[i], (len(j), BUCKETS)), regs[j], np.full(len(j), n[i]), n[j])
+                    good = _likely(value, buckets, threshold)
+                    if good.any():
+                        other = ids[j[good]]
+                        yield _rows(np.minimum(ids[i], other), np.maximum(ids[i], other), value[good])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from compared(*(np.concatenate(x) for x in list(zip(*held, strict=True))[1:]))
+
+        for t in batches:
+            if not t.num_rows:
+                continue
+            key, ids, root, n = (np.asarray(t.column(k)) for k in range(4))
+            regs = _registers(t.column(4))
+            cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
+                if held and held[0][0] != key[x]:
+                    yield from flush()
+                    held = []
+                held.append((key[x], ids[x:y], root[x:y], n[x:y], regs[x:y]))
+        yield from flush()
+
+    placed = members.select("key", "doc_id", "root", "n", "regs").repartition("key").sortWithinPartitions("key")
+    return placed.mapInArrow(judge, ESTIMATED)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs whose exact Jaccard index of shingles reaches the threshold."""
+    """(a, b) of the written pairs(a, b) whose exact Jaccard index of shingles reaches the threshold, as a written table.
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, part in _pieces(b.column(1)):
-                h, doc = distinct_hashes(*shingles(Words(part), SHINGLE))
-                at = np.searchsorted(doc, np.arange(len(part) + 1))
-                values = [h[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), pa.array(values, pa.binary())], names=["doc_id", "s"])
+    Each b's text moves once for each of its pairs, to a's; rows stream by, and a task holds one set at a time."""
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros(0, np.uint64)
         for t in batches:
-            j = np.zeros(t.num_rows)
-            for k, (x, y) in enumerate(zip(t.column(2), t.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                j[k] = common / max(1, len(both) - common)
-            good = pa.array(j >= threshold)
-            yield pa.RecordBatch.from_arrays([t.column(0).filter(good), t.column(1).filter(good), pa.array(j).filter(good)], names=["a", "b", "jaccard"])
-
-    needed = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
-    own = docs.join(sent_if_small(needed), "doc_id", "left_semi").select("doc_id", "text")
-    # Rows that repeat an identifier count as one document, its least text.
-    shingled = saved(own.groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(sets, "doc_id bigint, s binary"), "shingles")
-    one = shingled.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
-    two = shingled.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    out = saved(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(judge, "a bigint, b bigint, jaccard double"), "verified")
-    drop(shingled)
-    drop(needed)
+            a, is_head, b = np.asarray(t.column(0)), t.column(1).to_pylist(), np.asarray(t.column(2))
+            for i, part in _pieces(t.column(3)):
+                h, doc = distinct_hashes(*shingles(Words(part), SHINGLE))
+                at = np.searchsorted(doc, np.arange(len(part) + 1))
+                good = np.zeros(len(part), bool)
+                for k in range(len(part)):
+                    own = h[at[k] : at[k + 1]]
+                    if is_head[i + k]:
+                        head = own
+                    elif len(own) and len(head):
+                        where = np.searchsorted(head, own)
+                        common = int(np.count_nonzero(head[np.minimum(where, len(head) - 1)] == own))
+                        good[k] = common >= threshold * (len(own) + len(head) - common)
+                where = i + np.flatnonzero(good)
+                yield pa.RecordBatch.from_arrays([pa.array(a[where]), pa.array(b[where])], names=["a", "b"])
+
+    around = Window.partitionBy("a")
+    dealt = saved(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.count("*").over(around) / F.lit(FAN))).cast("int").alias("part")), "dealt")
+    heads = dealt.select("a", "part").distinct()
+    members = docs.join(sent_if_small(dealt.withColumnRenamed("b", "doc_id")), "doc_id").select("a", "part", F.lit(False).alias("h"), F.col("doc_id").alias("b"), "text")
+    first = docs.join(sent_if_small(heads.withColumnRenamed("a", "doc_id")), "doc_id").select(F.col("doc_id").alias("a"), "part", F.lit(True).alias("h"), F.col("doc_id").alias("b"), "text")
+    rows = members.unionByName(first).repartition("a", "part").sortWithinPartitions("a", "part", F.desc("h"))
+    out = saved(rows.select("a", "h", "b", "text").mapInArrow(judge, "a bigint, b bigint"), "verified")
+    drop(dealt)
+    return out
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """pairs(a, b, estimate) that lie in different components, with the components' roots x < y."""
+    one, two = (roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in ("a", "b"))
+    rooted = pairs.join(one, "a", "left").join(two, "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")})
+    return rooted.where("ra <> rb").select("a", "b", "estimate", F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"))
+
+
+def repeated_ids(ids: DataFrame) -> DataFrame | None:
+    """The identifiers that several rows have, as a written table; None if there are none. A narrow scan."""
+    twice = saved(ids.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated")
+    return None if twice.isEmpty() else twice
+
+
+def _groups(ids: DataFrame, twice: DataFrame | None, threshold: float) -> DataFrame:
+    """(node, root) of every document that isn't its group's least."""
+    if twice is not None:
+        several = ids.join(sent_if_small(twice), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        ids = ids.join(sent_if_small(twice), "doc_id", "left_anti").unionByName(several)
+    sig = saved(signatures(ids), "signatures")
+    # Copies share all their keys: the least doc_id of a digest stands for them from here on.
+    near = Window.partitionBy("digest")
+    copies = saved(sig.select("doc_id", "digest").withColumn("root", F.min("doc_id").over(near)).where("doc_id <> root").select("doc_id", "root"), "copies")
+    single = sig.join(sent_if_small(copies.select("doc_id")), "doc_id", "left_anti")
+    around = Window.partitionBy("key")
+    shared = banded(single).withColumn("size", F.count("*").over(around)).withColumn("head", F.min("doc_id").over(around)).where("size > 1")
+    shared = saved(shared.select("key", "doc_id", "head"), "buckets")
+    partnered = saved(shared.select("doc_id").distinct(), "partnered")
+    regs = saved(single.join(sent_if_small(partnered), "doc_id", "left_semi").select("doc_id", "n", "regs"), "registers")
+    drop(partnered)
+
+    stars = shared.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = saved(_estimated(stars, regs, threshold), "stars")
+    written = [sig, copies, shared, regs, stars]
+
+    def joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Components after the pairs that verify have been added."""
+        own = saved(pairs.select("a", "b"), "pairs")
+        good = _verified(own, ids, threshold)
+        out = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(good))
+        for t in (own, good, roots):
+            drop(t)
+        return out
+
+    nothing = saved(stars.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), "roots")
+    # Only components matter: a pair within one needs no look at its texts. So each document's best pair comes first.
+    roots = joined(nothing, stars.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")))
+    rest = _across(stars, roots)
+    if not rest.isEmpty():
+        roots = joined(roots, rest)
+    # Then every pair of a bucket that is still in different components, whatever its head.
+    placed = shared.select("key", "doc_id").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    mixed = placed.withColumn("lo", F.min("root").over(around)).withColumn("hi", F.max("root").over(around)).where("lo <> hi").select("key", "doc_id", "root")
+    mixed = saved(mixed, "mixed")
+    tried = stars.select("a", "b")
+    found = _estimated_across(mixed.join(regs, "doc_id"), threshold).groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    found = saved(_across(found, roots).join(tried, ["a", "b"], "left_anti"), "across")
+    best = Window.partitionBy("x", "y").orderBy(F.desc("estimate"), "a", "b")
+    if not found.isEmpty():
+        roots = joined(roots, found.withColumn("r", F.row_number().over(best)).where("r <= 4"))
+        rest = _across(found.drop("x", "y"), roots)
+        if not rest.isEmpty():
+            roots = joined(roots, rest)
+    out = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(copies.select(F.col("root").alias("a"), F.col("doc_id").alias("b"))))
+    for t in (*written, mixed, found, roots):
+        drop(t)
     return out
 
 
@@ -214,54 +351,29 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     them) are no one's duplicate; rows with a null doc_id take no part; rows that repeat a doc_id count as one
     document, its least text. No rows give none; other columns are not read.
 
-    Steps: (1) registers and band keys in the scan; copies fall together by digest. (2) Documents that share a band key
-    are candidates. In each bucket all are first compared with the least (a star, so a group of thousands costs
-    thousands of comparisons, not millions), and components of the verified pairs are taken; (3) then every pair of
-    a bucket that is still in different components is compared as well, so that no candidate is left out. A comparison is
-    the corrected estimate from registers, and for what is within three standard errors of the threshold or
-    above, the exact index.
+    Steps: (1) registers in the scan; copies fall together by digest. (2) Documents that share a band key are
+    candidates. In each bucket all are first compared with the least (a star, so a group of thousands costs thousands of
+    comparisons, not millions); (3) then every pair of a bucket that is still in different components is compared as
+    well, where the bucket lies, so that no candidate is left out. A comparison is the corrected estimate from registers;
+    what it doesn't rule out is verified by the exact index, unless its documents are in one component already.
     """
     ids = pruned(docs, "doc_id", "text").where("doc_id IS NOT NULL")
-    sig = saved(signatures(ids), "signatures")
-    near = Window.partitionBy("digest")
-    copies = sig.select("doc_id", "digest").withColumn("root", F.min("doc_id").over(near)).where("doc_id <> root").select("doc_id", "root")
-    copies = saved(copies.distinct(), "copies")
-    # Copies share all their keys: in each bucket the least doc_id of a digest stands for them, found in the bucket's own shuffle.
-    around = Window.partitionBy("key")
-    keyed = sig.select("doc_id", F.xxhash64("digest").alias("dg"), F.explode("bands").alias("key")).repartition("key")
-    single = keyed.groupBy("key", "dg").agg(F.min("doc_id").alias("doc_id"))
-    shared = single.withColumn("size", F.count("*").over(around)).withColumn("head", F.min("doc_id").over(around)).where("size > 1")
-    shared = saved(shared.select("key", "doc_id", "head"), "buckets")
-    partnered = saved(shared.select("doc_id").distinct(), "partnered")
-    regs = saved(sig.select("doc_id", "n", "regs").join(sent_if_small(partnered), "doc_id", "left_semi"), "registers")
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        likely = saved(_estimated(pairs, regs, threshold), "likely")
-        return _verified(likely, ids, threshold).select("a", "b")
-
-    stars = shared.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    edges = saved(compared(stars), "pairs")
-    roots = components(edges)
-    placed = shared.select("key", "doc_id", "head").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "head", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    mixed = saved(placed.withColumn("lo", F.min("root").over(around)).withColumn("hi", F.max("root").over(around)).where("lo <> hi").select("key", "head", "doc_id", "root"), "mixed")
-    left = mixed.select("key", F.col("head"), F.col("doc_id").alias("a"), F.col("root").alias("ra"))
-    right = mixed.select("key", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
-    others = left.join(right, "key").where("a < b AND ra <> rb AND a <> head").select("a", "b").distinct()
-    more = compared(others)
-    every = edges.unionByName(more).unionByName(copies.select(F.col("root").alias("a"), F.col("doc_id").alias("b")))
-    groups = components(every)
+    groups = _groups(ids, repeated_ids(ids), threshold)
     kept = groups.select(F.col("root").alias("doc_id"), F.col("root").alias("group_id")).distinct()
-    out = groups.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), F.lit(False).alias("keep")).unionByName(kept.withColumn("keep", F.lit(True)))
-    for t in (sig, copies, partnered, regs, shared, mixed, edges):
-        drop(t)
-    return out
+    return groups.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), F.lit(False).alias("keep")).unionByName(kept.withColumn("keep", F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that `near_duplicates` doesn't keep; of rows that repeat a doc_id, the one with the least
-    text stays. Rows with a null doc_id and texts without a word stay as they are. All columns stay."""
-    gone = near_duplicates(docs, threshold).where("NOT keep").select(F.col("doc_id").alias("_gone"))
+    text (null first) stays. Rows with a null doc_id and texts without a word stay as they are. All columns stay.
+    Texts are shuffled only where identifiers repeat or more are dropped than can be sent to every executor."""
+    ids = pruned(docs, "doc_id", "text").where("doc_id IS NOT NULL")
+    twice = repeated_ids(ids)
+    gone = _groups(ids, twice, threshold).select(F.col("node").alias("_gone"))
     rows = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("_d"), docs["doc_id"].alias("_gone"), docs["text"].alias("_t"))
-    left = rows.join(gone, "_gone", "left_anti")
-    once = left.withColumn("_n", F.row_number().over(Window.partitionBy("_gone").orderBy("_t"))).where("_n = 1 OR _gone IS NULL")
-    return once.select("_d.*")
+    left = rows.join(sent_if_small(gone), "_gone", "left_anti")
+    if twice is None:
+        return left.select("_d.*")
+    again = twice.withColumnRenamed("doc_id", "_gone")
+    once = left.join(sent_if_small(again), "_gone", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_gone").orderBy("_t"))).where("_n = 1")
+    return left.join(sent_if_small(again), "_gone", "left_anti").select("_d.*").unionByName(once.select("_d.*"))
