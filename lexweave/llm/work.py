@@ -48,9 +48,17 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of an Arrow batch, about: rows of long texts mustn't add up to more than a worker can hold.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
 def pruned(df: DataFrame, *names: str) -> DataFrame:
     """The named columns of df, by exact name where the case of several agrees; other columns, whatever
-    they are called, play no part."""
+    they are called, play no part. Arrow batches of the session are bounded by bytes from here on, unless it has
+    set a bound of its own."""
+    if df.sparkSession.conf.get(BATCH, None) is None:
+        df.sparkSession.conf.set(BATCH, str(BATCH_BYTES))
     fields = df.columns
     for n in names:
         if n not in fields:
