@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,25 +37,37 @@ def base_format(runs: Column) -> Column:
     return F.array_min(ranked)["f"]
 
 
+def ordinals(items: Column, counted: Callable[[Column], Column]) -> Column:
+    """For each item how many up to and with it are counted: one fold, however long the array."""
+    start = F.array().cast("array<int>")
+    return F.aggregate(items, start, lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + counted(x).cast("int"))))
+
+
+def is_code(e: Column) -> Column:
+    return e["kind"] == "c"
+
+
 def runs_to_elements(runs: Column) -> Column:
     """Runs of the base format are plain text; each other run is wrapped in a pair of codes numbered from 1."""
-    base = base_format(runs)
-    other = lambda r: r["rpr"] != base
     null, no = F.lit(None).cast("string"), F.lit(None).cast("boolean")
 
     def element(kind: str, t: Column = null, i: Column = null, ct: Column = null, data: Column = null, shown: Column = null, isolated: Column = no) -> Column:
         return F.struct(F.lit(kind).alias("kind"), t.alias("text"), i.alias("code_id"), ct.alias("code_type"), data.alias("data"), shown.alias("display_text"), isolated.alias("is_isolated"))
 
-    def one(r: Column, i: Column) -> Column:
-        n = F.size(F.filter(F.slice(runs, 1, (i + 1).cast("int")), other)).cast("string")
-        mark = lambda a: F.concat(F.lit(a), n, F.lit("}"))
-        body = element("t", r["text"])
-        pair = F.array(
-            element("c", null, n, F.lit(OPENING), r["rpr"], mark("{"), F.lit(False)), body, element("c", null, n, F.lit(CLOSING), r["rpr"], mark("{/"), F.lit(False))
-        )
-        return F.when(other(r), pair).otherwise(F.array(body))
+    def elements(x: Column) -> Column:  # of (runs, base), which a lambda evaluates once
+        other = lambda r: r["rpr"] != x["base"]
+
+        def one(r: Column, i: Column) -> Column:
+            n = i.cast("string")
+            mark = lambda a: F.concat(F.lit(a), n, F.lit("}"))
+            body = element("t", r["text"])
+            opening = element("c", null, n, F.lit(OPENING), r["rpr"], mark("{"), F.lit(False))
+            closing = element("c", null, n, F.lit(CLOSING), r["rpr"], mark("{/"), F.lit(False))
+            return F.when(other(r), F.array(opening, body, closing)).otherwise(F.array(body))
+
+        return F.flatten(F.zip_with(x["runs"], ordinals(x["runs"], other), one))
 
-    return F.flatten(F.transform(runs, one))
+    return F.element_at(F.transform(F.array(F.struct(runs.alias("runs"), base_format(runs).alias("base"))), elements), 1)
 
 
 def elements_to_runs(elements: list[dict], base: str) -> list[tuple[str, str]]:
@@ -170,9 +182,8 @@ def decode_mt(translated: Column, elements: Column) -> Column:
 
 def encode_mt(elements: Column) -> Column:
     """Text escaped for XML, the n-th code as <x id="n"/>."""
-    number = lambda i: F.size(F.filter(F.slice(elements, 1, (i + 1).cast("int")), lambda e: e["kind"] == "c"))
-    one = lambda e, i: F.when(e["kind"] == "c", F.concat(F.lit('<x id="'), number(i), F.lit('"/>'))).otherwise(escape_xml(e["text"]))
-    return F.array_join(F.transform(elements, one), "")
+    one = lambda e, i: F.when(is_code(e), F.concat(F.lit('<x id="'), i, F.lit('"/>'))).otherwise(escape_xml(e["text"]))
+    return F.array_join(F.zip_with(elements, ordinals(elements, is_code), one), "")
 
 
 def to_json(elements: Column) -> Column:

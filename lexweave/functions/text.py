@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The characters that the trimming used throughout removes: ASCII blanks and NUL, not U+00A0.
 BLANKS = " \t\n\r\0\x0b"
@@ -38,7 +39,7 @@ def is_empty(plain: Column) -> Column:
     return trim(plain) == ""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 

@@ -61,10 +61,13 @@ def numbers(c: Column, lang: Column) -> Column:
         t = F.replace(F.regexp_extract(t, "^[+\\-]?[0-9]*(?:\x00[0-9]*)?", 0), F.lit("\x00"), F.lit("."))
         return t.try_cast("double")
 
+    def values(decimal: str, group: str) -> Column:
+        return F.transform(tokens, lambda t: value(t, decimal, group))
+
     base = X.base_language(lang)
-    out = F.transform(tokens, lambda t: value(t, ".", ","))
-    for k, (d, g) in SEPARATORS.items():
-        out = F.when(base == k, F.transform(tokens, lambda t, d=d, g=g: value(t, d, g))).otherwise(out)
+    out = values(".", ",")
+    for k, marks in SEPARATORS.items():
+        out = F.when(base == k, values(*marks)).otherwise(out)
     return F.filter(out, lambda x: x.isNotNull())
 
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.inline import is_code, ordinals
 from ..functions.text import escape_xml
 from ..model import CLOSING, ELEMENTS, OPENING, STANDALONE, code, plain, text
 
@@ -202,22 +203,18 @@ def _esc(c: Column) -> Column:
     return escape_xml(c, quotes=True)
 
 
-def _ordinal(elements: Column, i: Column) -> Column:
-    return F.size(F.filter(F.slice(elements, 1, (i + 1).cast("int")), lambda e: e["kind"] == "c")).cast("string")
-
-
 def xliff_content(elements: Column) -> Column:
     """Inline content: text escaped, codes as bpt, ept, ph or it, numbered within the segment."""
 
     def one(e: Column, i: Column) -> Column:
-        n = _ordinal(elements, i)
+        n = i.cast("string")
         shown = F.when(e["display_text"].isNotNull(), F.concat(F.lit(' lw:equiv-text="'), _esc(e["display_text"]), F.lit('"'))).otherwise("")
         tag = F.when(e["is_isolated"], "it").when(e["code_type"] == OPENING, "bpt").when(e["code_type"] == CLOSING, "ept").otherwise("ph")
         pos = F.when(~e["is_isolated"], "").when(e["code_type"] == OPENING, ' pos="open"').otherwise(' pos="close"')
         made = F.concat(F.lit("<"), tag, F.lit(' id="'), n, F.lit('"'), pos, F.lit(' rid="'), _esc(e["code_id"]), F.lit('"'), shown, F.lit(">"), _esc(e["data"]), F.lit("</"), tag, F.lit(">"))
         return F.when(e["kind"] == "c", made).otherwise(_esc(e["text"]))
 
-    return F.array_join(F.transform(elements, one), "")
+    return F.array_join(F.zip_with(elements, ordinals(elements, is_code), one), "")
 
 
 def tmx_content(elements: Column) -> Column:
