@@ -29,7 +29,8 @@ def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are drawn to their target weights; a document drawn twice is there twice."""
-    return mix_sources(docs).drop("copy_no")
+    mixed = mix_sources(docs)
+    return mixed.drop(mixed.columns[-1])  # the copy's number
 
 
 def stage_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,7 +109,7 @@ class Tables:
         code, doc = codes(texts)
         own, back = np.unique(code, return_inverse=True)
         n = len(texts)
-        return np.bincount(doc, weights=self.log_prob(own)[back], minlength=n), np.bincount(doc, minlength=n)
+        return np.bincount(doc, weights=self.log_prob(own)[back], minlength=n).astype(float), np.bincount(doc, minlength=n)
 
 
 _TABLES: dict[str, dict[str, Tables]] = {}

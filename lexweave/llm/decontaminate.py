@@ -7,11 +7,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .kernels import Words, chunks
-from .work import new_path, pruned
+from .work import new_path, places, pruned, through
 
 PHRASE_WORDS = 8
 LEAST_WORDS = 5
@@ -290,7 +290,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, k: int = PHRASE_WORDS, leas
     """
     phrases = Phrases(bench, k, least)
     names = docs.columns
-    at = names.index("text")
+    at = places(docs, "text")[0]
+    counted = names.index("n_chars") if "n_chars" in names else None
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -304,11 +305,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, k: int = PHRASE_WORDS, leas
                         texts[d] = texts[d][:x] + texts[d][y:]
                     own = pa.array(texts, own.type)
                 new.append(own)
-            column = pa.concat_arrays(new) if new else b.column(at)
-            yield pa.RecordBatch.from_arrays([column if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
-
-    out = docs.mapInArrow(cut, docs.schema)
-    if "n_chars" in names:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return out
+            columns = list(b.columns)
+            columns[at] = pa.concat_arrays(new) if new else b.column(at)
+            if counted is not None:
+                was = columns[counted]
+                columns[counted] = pc.coalesce(pc.utf8_length(columns[at]).cast(was.type), was)
+            yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+
+    return through(docs, cut)

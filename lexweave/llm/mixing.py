@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .work import packed, pruned, unpacked
+
 #: Expected copies are whole multiples of 1/UNIT, so that prefix sums are exact.
 UNIT = 65536
 BUCKETS = 1024
@@ -24,13 +26,14 @@ def mix_sources(
     each bucket its start, and positions inside a bucket come from a window over (source, bucket); so a hot source
     is spread over all buckets and texts are shuffled once. Null sources are one source of their own (with a weight
     only by default); a null doc_id counts as bucket 0, first; repeated rows are rows like others; no rows give none.
-    A source that `weights` lacks has weight 0. Column names of the input stay; `copy_no` must not be among them.
+    A source that `weights` lacks has weight 0. All columns of the input stay; where one is called copy_no already, the
+    copy's number, always the last column, is called copy_no_2 (or the next that is free).
     """
-    if "copy_no" in docs.columns:
-        raise ValueError("the input has a column copy_no already")
     columns = docs.columns
-    bucket = F.coalesce(F.pmod(docs["doc_id"], F.lit(buckets)), F.lit(0).cast("long"))
-    counts = docs.select(docs["source"].alias("s"), bucket.alias("b")).groupBy("s", "b").agg(F.count("*").alias("c"))
+    taken = {c.lower() for c in columns}
+    number = next(n for n in ["copy_no", *(f"copy_no_{i}" for i in range(2, len(columns) + 3))] if n not in taken)
+    bucket = F.coalesce(F.pmod(F.col("doc_id"), F.lit(buckets)), F.lit(0).cast("long"))
+    counts = pruned(docs, "doc_id", "source").select(F.col("source").alias("s"), bucket.alias("b")).groupBy("s", "b").agg(F.count("*").alias("c"))
     per_source = counts.groupBy("s").agg(F.sum("c").alias("n"))
     if weights is None:
         weighed = per_source.withColumn("w", F.floor(F.sqrt(F.col("n").cast("double")) * 1e6).cast("double"))
@@ -42,7 +45,7 @@ def mix_sources(
     every = weighed.agg(F.sum("w").alias("w_all"), F.sum("n").alias("n_all"))
     share = weighed.crossJoin(every).select(
         "s",
-        F.floor(F.col("w") / F.col("w_all") * F.col("n_all").cast("double") * F.lit(float(epochs)) / F.col("n").cast("double") * F.lit(float(UNIT)))
+        F.floor(F.coalesce(F.try_divide("w", "w_all"), F.lit(0.0)) * F.col("n_all").cast("double") * F.lit(float(epochs)) / F.col("n").cast("double") * F.lit(float(UNIT)))
         .cast("long")
         .alias("e"),
         F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce("s", F.lit("")))), 1, 4), 16, 10).cast("long").alias("u"),
@@ -52,13 +55,14 @@ def mix_sources(
     plan = starts.join(share.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2"))).select(
         F.struct(F.col("s"), F.col("b")).alias("_k"), "before", "e", "u"
     )
-    rows = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in columns]).alias("_d"), F.struct(docs["source"].alias("s"), bucket.alias("b")).alias("_k"))
-    inside = Window.partitionBy("_k").orderBy(F.col("_d.doc_id").asc_nulls_first(), F.col("_d.text").asc_nulls_first())
+    rows = packed(docs, doc_id="doc_id", source="source", text="text").select("_d", "doc_id", "text", F.struct(F.col("source").alias("s"), bucket.alias("b")).alias("_k"))
+    inside = Window.partitionBy("_k").orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     placed = rows.join(plan, "_k").withColumn("_n", F.row_number().over(inside) + F.col("before"))
     shifted = lambda n: F.shiftright(n * F.col("e") + F.col("u"), 16)
     copies = (shifted(F.col("_n")) - shifted(F.col("_n") - 1)).cast("int")
     drawn = placed.withColumn("_copies", copies).where("_copies > 0")
-    return drawn.select("_d", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy_no")).select("_d.*", "copy_no")
+    each = drawn.select("_d", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_no"))
+    return unpacked(each, columns, F.col("_no").alias(number))
 
 
 def mix_sources_sql(table: str = "documents", seed: int = 17, buckets: int = BUCKETS, epochs: float = 1.0) -> str:

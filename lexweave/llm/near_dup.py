@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import RADIX, Words, chunks, mix, shingles
-from .work import drop, pruned, saved, sent_if_small
+from .work import drop, packed, pruned, saved, sent_if_small, unpacked
 
 SHINGLE = 3
 THRESHOLD = 0.5
@@ -365,15 +365,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that `near_duplicates` doesn't keep; of rows that repeat a doc_id, the one with the least
-    text (null first) stays. Rows with a null doc_id and texts without a word stay as they are. All columns stay.
+    text (null last) stays. Rows with a null doc_id and texts without a word stay as they are. All columns stay.
     Texts are shuffled only where identifiers repeat or more are dropped than can be sent to every executor."""
     ids = pruned(docs, "doc_id", "text").where("doc_id IS NOT NULL")
     twice = repeated_ids(ids)
     gone = _groups(ids, twice, threshold).select(F.col("node").alias("_gone"))
-    rows = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("_d"), docs["doc_id"].alias("_gone"), docs["text"].alias("_t"))
-    left = rows.join(sent_if_small(gone), "_gone", "left_anti")
+    left = packed(docs, _id="doc_id", _t="text").join(sent_if_small(gone.withColumnRenamed("_gone", "_id")), "_id", "left_anti")
     if twice is None:
-        return left.select("_d.*")
-    again = twice.withColumnRenamed("doc_id", "_gone")
-    once = left.join(sent_if_small(again), "_gone", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_gone").orderBy("_t"))).where("_n = 1")
-    return left.join(sent_if_small(again), "_gone", "left_anti").select("_d.*").unionByName(once.select("_d.*"))
+        return unpacked(left, docs.columns)
+    again = twice.withColumnRenamed("doc_id", "_id")
+    first = Window.partitionBy("_id").orderBy(F.col("_t").asc_nulls_last())
+    once = left.join(sent_if_small(again), "_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return unpacked(left.join(sent_if_small(again), "_id", "left_anti").select("_d").unionByName(once.select("_d")), docs.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import RADIX, Words, chunks, mix
-from .work import drop, pruned, saved
+from .work import drop, places, pruned, saved, through
 
 #: Labelled rows that are fitted at most: the ones with the least hash of their doc_id.
 MAX_EXAMPLES = 12_000
@@ -270,7 +270,7 @@ def toxic_flags(score: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
 def without_toxic(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> DataFrame:
     """The rows of docs that `toxicity` doesn't call toxic, with all their columns; one pass, nothing shuffled."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most))
-    at = docs.columns.index("text")
+    at = places(docs, "text")[0]
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -282,4 +282,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES)
                     flags[k + i : k + i + len(part)] = toxic_flags(score, ids)
             yield b.filter(pa.array(~flags))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return through(docs, keep)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -59,11 +61,37 @@ def pruned(df: DataFrame, *names: str) -> DataFrame:
     set a bound of its own."""
     if df.sparkSession.conf.get(BATCH, None) is None:
         df.sparkSession.conf.set(BATCH, str(BATCH_BYTES))
-    fields = df.columns
+    return _numbered(df).select(*[F.col(f"c{i}").alias(n) for n, i in zip(names, places(df, *names), strict=True)])
+
+
+def places(df: DataFrame, *names: str) -> list[int]:
+    """Where the columns of exactly these names stand (the first, where a name is there twice)."""
     for n in names:
-        if n not in fields:
-            raise ValueError(f"column {n!r} is missing; there are {fields}")
-    return df.select(*[df[f"`{n}`"] for n in names])
+        if n not in df.columns:
+            raise ValueError(f"column {n!r} is missing; there are {df.columns}")
+    return [df.columns.index(n) for n in names]
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def through(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """df with its rows replaced by those of f, which keeps the columns; their names may clash."""
+    own = _numbered(df)
+    return own.mapInArrow(f, own.schema).toDF(*df.columns)
+
+
+def packed(df: DataFrame, **names: str) -> DataFrame:
+    """All columns of df as the struct _d, whatever they are called, and beside it columns of their own: new name = name in df."""
+    at = dict(zip(names, places(df, *names.values()), strict=True))
+    each = F.struct(*[F.col(f"c{i}") for i in range(len(df.columns))])
+    return _numbered(df).select(each.alias("_d"), *[F.col(f"c{i}").alias(n) for n, i in at.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    """The columns that `packed` put into _d, under their names, and more."""
+    return df.select(*[F.col(f"_d.c{i}").alias(c) for i, c in enumerate(columns)], *more)
 
 
 #: Rows of one identifier that are sent to every executor at most; beyond it both sides are shuffled.
