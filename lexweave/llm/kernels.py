@@ -9,6 +9,23 @@ from collections.abc import Iterator
 import numpy as np
 
 MASK = (1 << 64) - 1
+
+
+def release() -> None:
+    """Gives back to the system what earlier tasks of this worker have freed."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it has
+        pass
+
+
 RADIX = 0x9E3779B97F4A7C15 | 1
 UNRADIX = pow(RADIX, -1, 1 << 64)
 #: Code points worked on at once; a longer document is a chunk of its own.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import packed, pruned, unpacked
+from .work import packed, places, pruned, unpacked
 
 #: Expected copies are whole multiples of 1/UNIT, so that prefix sums are exact.
 UNIT = 65536
@@ -55,8 +55,9 @@ def mix_sources(
     plan = starts.join(share.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2"))).select(
         F.struct(F.col("s"), F.col("b")).alias("_k"), "before", "e", "u"
     )
-    rows = packed(docs, doc_id="doc_id", source="source", text="text").select("_d", "doc_id", "text", F.struct(F.col("source").alias("s"), bucket.alias("b")).alias("_k"))
-    inside = Window.partitionBy("_k").orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    text = F.col(f"_d.c{places(docs, 'text')[0]}")  # within the struct: a column of its own would be shuffled as well
+    rows = packed(docs, doc_id="doc_id", source="source").select("_d", "doc_id", F.struct(F.col("source").alias("s"), bucket.alias("b")).alias("_k"))
+    inside = Window.partitionBy("_k").orderBy(F.col("doc_id").asc_nulls_first(), text.asc_nulls_first())
     placed = rows.join(plan, "_k").withColumn("_n", F.row_number().over(inside) + F.col("before"))
     shifted = lambda n: F.shiftright(n * F.col("e") + F.col("u"), 16)
     copies = (shifted(F.col("_n")) - shifted(F.col("_n") - 1)).cast("int")

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import release
 from .tokenizers import DEFAULT_VOCABULARY, encoding, ranks
 from .work import pruned
 
@@ -188,6 +189,7 @@ def token_shards(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, shard_by
     width = 2 if len(ranks(vocabulary)) <= 1 << 16 else 4
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         enc = encoding(vocabulary)
         for b in batches:
             ids = np.asarray(b.column(0))
@@ -199,6 +201,7 @@ def token_shards(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, shard_by
                 yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(part), pa.array(values, pa.binary())], names=["shard", "doc_id", "v"])
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         now, w, lo, hi, tokens = None, None, 0, 0, 0
 
         def done() -> pa.RecordBatch:
