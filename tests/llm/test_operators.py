@@ -209,6 +209,59 @@ def test_pitman_yor_seating_is_consistent():
                 assert (asked == level.customers).all() or m + 1 in chain.levels
 
 
+def test_pitman_yor_seats_every_customer_of_large_counts():
+    """Numbers of tables against their exact distribution, small and large counts in one restaurant of level 0."""
+    n = np.array([1] * 60 + [2] * 30 + [40, 700, 1500, 2500], np.int64)
+    rate, h, most = 0.5, 1 / 256, 400  # the discount that 60 ones and 30 twos give; tables of a dish beyond most: no mass
+    weight = {0: np.where(np.arange(most) == 0, 0.0, -np.inf)}
+    for c in range(2500):  # log of the weight of seatings of c + 1 customers by tables, customer by customer
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stay = weight[c] + np.log(np.maximum(0, c - rate * np.arange(most)))
+        weight[c + 1] = np.logaddexp(np.append(-np.inf, weight[c][:-1]), np.where(np.isnan(stay), -np.inf, stay))
+        if c not in n:
+            del weight[c]
+    total, tilt = np.ones(1), np.log(60.0)  # over the tables of all dishes; the tilt keeps what counts within a double's range
+    for k in n.tolist():
+        one = weight[k][: k + 1] + np.arange(min(most, k + 1)) * (np.log(h) + tilt)
+        total = np.convolve(total, np.exp(one - one.max()))
+        total /= total.max()
+    t = np.arange(len(total))
+    with np.errstate(divide="ignore"):
+        log_p = np.log(total) - tilt * t + np.append(0, np.cumsum(np.log(pitman_yor.STRENGTH + rate * t[:-1])))
+    p = np.exp(log_p - log_p.max()) / np.exp(log_p - log_p.max()).sum()
+    want = (p * t).sum()
+    spread = math.sqrt((p * (t - want) ** 2).sum())
+    drawn = []
+    for seed in range(150):
+        chain = pitman_yor.Chain(np.arange(len(n), dtype=np.uint64), n, 0, 0, np.zeros(0), seed)
+        for _ in range(pitman_yor.BURN_IN + pitman_yor.SAMPLES):
+            chain.sweep()
+        drawn.append(chain.levels[0].tables.sum())
+    assert abs(np.mean(drawn) - want) < 0.35 * spread
+    assert 0.7 * spread < np.std(drawn) < 1.4 * spread
+
+
+def test_pitman_yor_tables_of_a_million_customers():
+    """Restaurants of a single dish, certain below: the mean number of tables has a closed form."""
+    n = np.array([1] * 60 + [2] * 30 + [1_000_000] * 200, np.int64)  # a discount of 1/2
+    code = np.arange(len(n), dtype=np.uint64) << np.uint64(8)
+    chain = pitman_yor.Chain(code << np.uint64(8), n, 2, 2, np.ones(1 << 16), 5)
+    for _ in range(pitman_yor.BURN_IN + pitman_yor.SAMPLES):
+        chain.sweep()
+    a, d, c = pitman_yor.STRENGTH, 0.5, 1_000_000
+    want = math.exp(math.lgamma(a + c + d) + math.lgamma(a + 1) - math.lgamma(a + c) - math.lgamma(a + d)) / d - a / d
+    got = chain.levels[2].tables[-200:]
+    assert abs(got.mean() - want) < 0.15 * want
+    assert 0.3 * want < got.std() < 0.8 * want
+
+
+def test_pitman_yor_weights_beyond_the_recursion():
+    for d in (0.1, 0.5, 0.9):
+        t = np.array([1, 2, 10, 60, 400, 1000])
+        got = pitman_yor._many(np.array([pitman_yor.EXACT]), t[None].astype(float), d)[0]
+        assert np.allclose(got, pitman_yor._weights(d)[pitman_yor.EXACT, t], atol=1e-3)
+
+
 def test_quality_on_held_out_labels(spark):
     from pyspark.sql import functions as F
 
