@@ -121,6 +121,16 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(groups[i] == groups[g] for i, g in got.items())
 
 
+def test_isolated_pairs_at_the_threshold_are_verified():
+    """Pairs without other neighbours, all buckets filled: chance to share a band and to pass the estimate's margin."""
+    rng = np.random.default_rng(1)
+    for jaccard, least in ((0.5, 0.95), (0.52, 0.97), (0.55, 0.985)):
+        same = rng.random((8000, near_dup.BUCKETS)) < jaccard
+        band = same[:, near_dup.ORDERS].all(axis=2).any(axis=1)
+        likely = near_dup._likely(same.mean(axis=1), np.full(len(same), near_dup.BUCKETS), near_dup.THRESHOLD)
+        assert (band & likely).mean() >= least
+
+
 def test_registers_estimate_jaccard():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 1 << 63, 6000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 6000, dtype=np.uint64)
