@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .work import packed, places, pruned, unpacked
 
-#: Expected copies are whole multiples of 1/UNIT, so that prefix sums are exact.
+#: Expected copies are whole multiples of 1/UNIT, so that prefix sums are exact; with explicit weights, whose shares may be
+#: as small as they like, of 1/2**FINE, with decimal prefix sums.
 UNIT = 65536
+FINE = 48
 BUCKETS = 1024
 
 
@@ -29,6 +31,8 @@ def mix_sources(
     A source that `weights` lacks has weight 0. All columns of the input stay; where one is called copy_no already, the
     copy's number, always the last column, is called copy_no_2 (or the next that is free).
     """
+    fine = weights is not None
+    unit = 1 << FINE if fine else UNIT
     columns = docs.columns
     taken = {c.lower() for c in columns}
     number = next(n for n in ["copy_no", *(f"copy_no_{i}" for i in range(2, len(columns) + 3))] if n not in taken)
@@ -40,15 +44,14 @@ def mix_sources(
     else:
         table = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]) if weights else None
         w = F.coalesce(F.try_element_at(table, F.col("s")), F.lit(0.0)) if weights else F.lit(0.0)
-        weighed = per_source.withColumn("w", F.floor(F.coalesce(w, F.lit(0.0)) * 1e6).cast("double"))
+        weighed = per_source.withColumn("w", F.coalesce(w, F.lit(0.0)))
     # A handful of rows, one per source: totals over them need no partitioning.
     every = weighed.agg(F.sum("w").alias("w_all"), F.sum("n").alias("n_all"))
+    expected = F.coalesce(F.try_divide("w", "w_all"), F.lit(0.0)) * F.col("n_all").cast("double") * F.lit(float(epochs)) / F.col("n").cast("double") * F.lit(float(unit))
     share = weighed.crossJoin(every).select(
         "s",
-        F.floor(F.coalesce(F.try_divide("w", "w_all"), F.lit(0.0)) * F.col("n_all").cast("double") * F.lit(float(epochs)) / F.col("n").cast("double") * F.lit(float(UNIT)))
-        .cast("long")
-        .alias("e"),
-        F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce("s", F.lit("")))), 1, 4), 16, 10).cast("long").alias("u"),
+        expected.cast("decimal(25,0)").alias("e") if fine else F.floor(expected).cast("long").alias("e"),
+        F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce("s", F.lit("")))), 1, FINE // 4 if fine else 4), 16, 10).cast("long").alias("u"),
     )
     running = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("s", "b", F.coalesce(F.sum("c").over(running), F.lit(0)).alias("before"))
@@ -59,7 +62,11 @@ def mix_sources(
     rows = packed(docs, doc_id="doc_id", source="source").select("_d", "doc_id", F.struct(F.col("source").alias("s"), bucket.alias("b")).alias("_k"))
     inside = Window.partitionBy("_k").orderBy(F.col("doc_id").asc_nulls_first(), text.asc_nulls_first())
     placed = rows.join(plan, "_k").withColumn("_n", F.row_number().over(inside) + F.col("before"))
-    shifted = lambda n: F.shiftright(n * F.col("e") + F.col("u"), 16)
+    if fine:
+        whole = lambda c, k: c.cast(f"decimal({k},0)")
+        shifted = lambda n: F.call_function("div", whole(n, 12) * F.col("e") + whole(F.col("u"), 15), whole(F.lit(unit), 15))
+    else:
+        shifted = lambda n: F.shiftright(n * F.col("e") + F.col("u"), 16)
     copies = (shifted(F.col("_n")) - shifted(F.col("_n") - 1)).cast("int")
     drawn = placed.withColumn("_copies", copies).where("_copies > 0")
     each = drawn.select("_d", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_no"))

@@ -405,3 +405,12 @@ def test_mix_hits_its_targets(spark, docs):
     assert set(by) == {"src0", "src1"} and abs(by["src0"] - 1.5 * n) <= 2 and abs(by["src1"] - 0.5 * n) <= 2
     times = [r["count"] for r in out.where("source = 'src0'").groupBy("doc_id").count().collect()]
     assert max(times) - min(times) <= 1
+
+
+def test_mix_keeps_small_shares(spark):
+    """A share of 1/200,000 copies a document: below 2 ** -16, yet two copies of 400,000 documents."""
+    d = spark.range(400_000).selectExpr("id AS doc_id", "IF(id = 0, 'rest', 'large') AS source", "'x' AS text")
+    out = mixing.mix_sources(d, {"large": 5e-6, "rest": 1 - 5e-6})
+    assert out.where("source = 'large'").count() in (1, 2, 3)
+    many = mixing.mix_sources(d.limit(10), {"rest": 1.0}, epochs=10_000.0)
+    assert many.where("source = 'rest'").count() == 100_000
