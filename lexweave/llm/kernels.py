@@ -29,7 +29,7 @@ def release() -> None:
 RADIX = 0x9E3779B97F4A7C15 | 1
 UNRADIX = pow(RADIX, -1, 1 << 64)
 #: Code points worked on at once; a longer document is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 @functools.cache
@@ -37,7 +37,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     """By code point: its lower case (where that is one code point), and whether it belongs to words."""
     lower = np.arange(0x110000, dtype=np.uint32)
     word = np.zeros(0x110000, dtype=bool)
-    for c in range(0x32000):
+    for c in (*range(0xD800), *range(0xE000, 0x33480), *range(0xE0100, 0xE01F0)):  # beyond, nothing is a letter, digit or mark
         s = chr(c)
         low = s.lower()
         if len(low) == 1:

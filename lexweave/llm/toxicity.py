@@ -2,109 +2,185 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import RADIX, Words, chunks, mix
+from .kernels import Words, chunks
 from .work import drop, places, pruned, saved, through
 
 #: Labelled rows that are fitted at most: the ones with the least hash of their doc_id.
 MAX_EXAMPLES = 12_000
 NEIGHBOURS = 15
 BLOCK = 64
-#: A term belongs to the index if its association with the label is this strong (G squared, ratio of rates).
-LEAST_G2, LEAST_LIFT, LEAST_TOXIC = 24.0, 3.0, 5
+#: A term that one in so many examples holds has a full row of weights (zeros too) instead of postings.
+FULL = 16
+#: Blocks that are scored before the k-th best cosine rules others out; texts whose full rows are multiplied at once.
+FIRST_BLOCKS, GROUP = 6, 64
+#: Cosines count as equal if they agree to so many places.
+PLACES = 5
 SCORE = 0.5
+#: How much a term's inverse document frequency is raised by the label, and with how many examples at the overall rate its
+#: rate of toxic examples is evened out.
+EMPHASIS, EVEN = 2.0, 20.0
 
 
-def term_counts(texts: list[str], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, times) of the vocabulary's terms (sorted hashes) in each text, in order of text and term."""
+def term_counts(texts: list[str], vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, times) of each text's words, in order of text and term: terms are indices into the vocabulary of
+    sorted hashes (other words don't count), or without one the hashes themselves."""
     w = Words(texts)
-    if not len(vocabulary) or not len(w.hash):
-        return (np.zeros(0, np.int64),) * 3
-    i = np.searchsorted(vocabulary, w.hash)
-    i[i == len(vocabulary)] = 0
-    hit = vocabulary[i] == w.hash
-    key, times = np.unique(w.doc[hit] * len(vocabulary) + i[hit], return_counts=True)
-    return key // len(vocabulary), key % len(vocabulary), times
+    if not len(w.hash) or vocabulary is not None and not len(vocabulary):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    own, back = np.unique(w.hash, return_inverse=True)
+    doc = w.doc
+    if vocabulary is not None:
+        i = np.searchsorted(vocabulary, own)
+        i[i == len(vocabulary)] = 0
+        i = np.where(vocabulary[i] == own, i, -1)[back]
+        doc, back, own = doc[i >= 0], i[i >= 0], np.arange(len(vocabulary))
+    key, times = np.unique(doc * len(own) + back, return_counts=True)
+    return key // len(own), own[key % len(own)], times
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] numbers), start[1], ..."""
+    total = int(size.sum())
+    return np.arange(total) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def _alike(rows: np.ndarray, size: np.ndarray, axes: int = 4) -> np.ndarray:
+    """An order of the columns of `rows` that puts like ones together: halves along the main axes, then by size."""
+    n = rows.shape[1]
+    if min(rows.shape) < axes or n < 4 * BLOCK:
+        return np.argsort(size, kind="stable")
+    even = rows - rows.mean(axis=1, keepdims=True)
+    v = np.random.default_rng(0).normal(size=(len(rows), axes)).astype(np.float32)
+    for _ in range(8):
+        v = np.linalg.qr(even @ (even.T @ v))[0]
+    place = even.T @ v
+    groups = [np.arange(n)]
+    for k in range(axes):
+        groups = [h for g in groups for h in np.array_split(g[np.argsort(place[g, k], kind="stable")], 2)]
+    return np.concatenate([g[np.argsort(size[g], kind="stable")] for g in groups])
 
 
-@dataclass
 class BlockMaxIndex:
-    """Examples in blocks of BLOCK; of each term its postings by block and the largest weight in each block.
+    """Examples (like ones together) in blocks of BLOCK; of each term its postings by block and the largest weight in each block.
 
-    A search bounds each block by the sum of its terms' largest products, takes blocks by descending bound and ends
-    where no bound reaches the k-th best cosine: the result is exact. Ties go to the example that comes first.
+    A search bounds each block by the sum of its terms' largest products, scores the blocks of the highest bounds, and then
+    all others whose bound reaches the k-th best cosine so far: the result is exact. Terms that many examples hold are
+    multiplied for all of them at once, so their share of a bound is exact. Ties go to the example that comes first.
     """
 
-    ids: np.ndarray
-    toxic: np.ndarray
-    example: np.ndarray
-    term: np.ndarray
-    weight: np.ndarray
-    terms: int
-    lists: list = field(default_factory=list)
-
-    def __post_init__(self):
-        self.blocks = -(-len(self.ids) // BLOCK)
-        order = np.lexsort((self.example, self.term))
-        e, w = self.example[order], self.weight[order]
-        at = np.searchsorted(self.term[order], np.arange(self.terms + 1))
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            own, ww = e[a:b], w[a:b]
-            blocks, first = np.unique(own // BLOCK, return_index=True)
-            most = np.maximum.reduceat(ww, first) if len(first) else ww
-            ends = np.append(first[1:], len(own))[: len(first)]
-            self.lists.append((blocks, most, {int(k): (own[x:y] - k * BLOCK, ww[x:y]) for k, x, y in zip(blocks, first, ends, strict=True)}))
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Indices and cosines of the k nearest of positive cosine, best first; `without`: one example to leave out."""
-        bound = np.zeros(self.blocks)
-        lists = [(q, *self.lists[t]) for t, q in zip(terms.tolist(), weights.tolist(), strict=True)]
-        for q, blocks, most, _ in lists:
-            bound[blocks] += q * most
-        order = np.argsort(-bound, kind="stable")
-        best, cos = np.zeros(0, np.int64), np.zeros(0)
-        for b in order.tolist():
-            if bound[b] <= 0 or len(best) >= k and bound[b] < cos[k - 1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for q, _, _, by_block in lists:
-                if b in by_block:
-                    i, w = by_block[b]
-                    score[i] += q * w
-            i = np.flatnonzero(score > 0)
-            i = i[i + b * BLOCK != without]
-            best, cos = np.concatenate([best, i + b * BLOCK]), np.concatenate([cos, score[i]])
-            by = np.lexsort((best, -cos))[:k]
-            best, cos = best[by], cos[by]
+    def __init__(self, ids: np.ndarray, toxic: np.ndarray, example: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int):
+        self.ids, self.toxic, self.n = ids, toxic, len(ids)
+        self.blocks = -(-self.n // BLOCK)
+        held = np.bincount(term, minlength=terms)
+        full = np.flatnonzero(held * FULL > self.n)
+        self.row = np.full(terms, -1, np.int32)
+        self.row[full] = np.arange(len(full))
+        rows = np.zeros((len(full), self.n), np.float32)
+        own = self.row[term] >= 0
+        rows[self.row[term[own]], example[own]] = weight[own]
+        self.number = _alike(rows, np.bincount(example, minlength=self.n))  # of the example at each place
+        self.place = np.empty(self.n, np.int64)
+        self.place[self.number] = np.arange(self.n)
+        self.full = rows[:, self.number]
+        term, example, weight = term[~own], self.place[example[~own]], weight[~own]
+        order = np.lexsort((example, term))
+        term, self.at_place, self.weight = term[order], example[order].astype(np.int32), weight[order].astype(np.float32)
+        block = self.at_place // BLOCK
+        first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, np.int64)
+        self.entry_block = block[first].astype(np.int32)
+        self.entry_at = np.append(first, len(term)).astype(np.int32)
+        self.entry_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        self.term_at = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)
+
+    def search(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of n texts (doc ascending) numbers and cosines of the k nearest of positive cosine, best first;
+        `without`: an example for each text to leave out."""
+        at = np.searchsorted(doc, np.arange(n + 1))
+        weight = weight.astype(np.float32)
+        for g in range(0, n, GROUP):
+            end = min(n, g + GROUP)
+            a, b = at[g], at[end]
+            row = self.row[term[a:b]]
+            q = np.zeros((end - g, len(self.full)), np.float32)
+            q[doc[a:b][row >= 0] - g, row[row >= 0]] = weight[a:b][row >= 0]
+            base = q @ self.full
+            for d in range(g, end):
+                own = slice(at[d], at[d + 1])
+                rare = self.row[term[own]] < 0
+                yield self._nearest(base[d - g], term[own][rare], weight[own][rare], k, -1 if without is None else int(self.place[without[d]]))
+
+    def _nearest(self, base: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        if not self.n:
+            return np.zeros(0, np.int64), np.zeros(0)
+        start, end = self.term_at[term], self.term_at[term + 1]
+        ranges = list(zip(start.tolist(), end.tolist(), strict=True))
+        block = np.concatenate([self.entry_block[a:b] for a, b in ranges]) if ranges else self.entry_block[:0]
+        product = np.concatenate([self.entry_most[a:b] for a, b in ranges]) * np.repeat(weight, end - start) if ranges else self.entry_most[:0]
+        bound = np.maximum.reduceat(base, np.arange(0, self.n, BLOCK)) + np.bincount(block, weights=product, minlength=self.blocks)
+        chosen = np.zeros(self.blocks, bool)
+        chosen[np.argpartition(-bound, min(FIRST_BLOCKS, self.blocks) - 1)[:FIRST_BLOCKS]] = True
+        own = (base, start, end, block, weight, k, without)
+        best, cos = self._scored(chosen, *own)
+        least = cos[k - 1] - 10.0**-PLACES if len(cos) >= k else 0.0
+        more = ~chosen & (bound > 0) & (bound >= least)
+        if more.any():
+            others = self._scored(more, *own)
+            best, cos = np.concatenate([best, others[0]]), np.concatenate([cos, others[1]])
+            order = np.lexsort((best, -cos))[:k]
+            best, cos = best[order], cos[order]
         return best, cos
 
+    def _scored(self, blocks: np.ndarray, base: np.ndarray, start: np.ndarray, end: np.ndarray, block: np.ndarray, weight: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of some blocks."""
+        if 4 * np.count_nonzero(blocks) < self.blocks:  # their own postings
+            pick = np.flatnonzero(blocks[block])
+            term = np.searchsorted(np.cumsum(end - start), pick, side="right")
+            entry = pick + (start - np.cumsum(end - start) + (end - start))[term] if len(pick) else pick
+            size = self.entry_at[entry + 1] - self.entry_at[entry]
+            at = _runs(self.entry_at[entry], size)
+            place, product = self.at_place[at], self.weight[at] * np.repeat(weight[term], size)
+        else:  # whole lists, which lie together
+            a, b = self.entry_at[start], self.entry_at[end]
+            ranges = list(zip(a.tolist(), b.tolist(), strict=True))
+            place = np.concatenate([self.at_place[x:y] for x, y in ranges]) if ranges else self.at_place[:0]
+            product = np.concatenate([self.weight[x:y] for x, y in ranges]) * np.repeat(weight, b - a) if ranges else self.weight[:0]
+        which = np.flatnonzero(np.repeat(blocks, BLOCK)[: self.n])
+        score = np.round((np.bincount(place, weights=product, minlength=self.n) + base)[which], PLACES)
+        good = (score > 0) & (which != without)
+        which, score = which[good], score[good]
+        if len(which) > k:
+            good = score >= np.partition(score, -k)[-k]
+            which, score = which[good], score[good]
+        number = self.number[which]
+        order = np.lexsort((number, -score))[:k]
+        return number[order], np.minimum(score[order], 1.0)
+
 
 @dataclass
 class Model:
     vocabulary: np.ndarray
     idf: np.ndarray
     index: BlockMaxIndex
-    base: float  # rate of toxic examples among those without a term
     prior: float
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
 
-    def vectors(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Weights (1 + ln tf) idf of unit length, and where each text's begin."""
+    def vectors(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        """Weights (1 + ln tf) idf of unit length."""
         w = (1 + np.log(times)) * self.idf[term] if len(term) else np.zeros(0)
         norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=n))
-        return w / norm[doc] if len(term) else w, np.searchsorted(doc, np.arange(n + 1))
+        return w / np.maximum(norm[doc], 1e-300) if len(term) else w
 
     def vote(self, near: np.ndarray, cos: np.ndarray) -> float:
         """Votes weighted by 1 / distance, with the prior as one vote from the greatest distance."""
-        w = 1 / (1 - np.minimum(cos, 1) + 0.02)
+        w = 1 / (1 - cos + 0.02)
         return float((w @ self.index.toxic[near] + self.prior) / (w.sum() + 1))
 
     def calibrated(self, vote: float) -> float:
@@ -112,12 +188,12 @@ class Model:
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         doc, term, times = term_counts(texts, self.vocabulary)
-        w, at = self.vectors(doc, term, times, len(texts))
-        score, ids, cosines = np.full(len(texts), self.base), [np.zeros(0, np.int64)] * len(texts), [np.zeros(0)] * len(texts)
-        for d in np.unique(doc).tolist():
-            near, cos = self.index.search(term[at[d] : at[d + 1]], w[at[d] : at[d + 1]], NEIGHBOURS)
+        score, ids, cosines = np.full(len(texts), self.prior), [], []
+        for d, (near, cos) in enumerate(self.index.search(doc, term, self.vectors(doc, term, times, len(texts)), len(texts), NEIGHBOURS)):
             if len(near):
-                score[d], ids[d], cosines[d] = self.calibrated(self.vote(near, cos)), self.index.ids[near], cos
+                score[d] = self.calibrated(self.vote(near, cos))
+            ids.append(self.index.ids[near])
+            cosines.append(cos)
         return score, ids, cosines
 
 
@@ -138,6 +214,16 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return px, np.maximum.accumulate(py) if len(py) else py
 
 
+def emphasis(term: np.ndarray, toxic: np.ndarray, terms: int) -> np.ndarray:
+    """The factor of each term's idf: 1, more by the evened-out log ratio of its rate of toxic examples to the overall one.
+    term, toxic: of each posting."""
+    held, bad = np.bincount(term, minlength=terms), np.bincount(term, weights=toxic, minlength=terms)
+    rate = toxic.sum() / max(1, len(toxic))
+    if not rate:
+        return np.ones(terms)
+    return 1 + EMPHASIS * np.maximum(0, np.log((bad + EVEN * rate) / ((held + EVEN) * rate)))
+
+
 def _examples(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """(doc_id, text, toxic) of the labelled documents that are fitted, as a written table."""
     given = pruned(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -148,90 +234,85 @@ def _examples(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return saved(joined.where("text IS NOT NULL"), "examples")
 
 
-def _vocabulary(examples: DataFrame) -> np.ndarray:
-    """Sorted hashes of the terms that mark toxic examples. A term counts once for each word that follows it, so that
-    copies of one document don't make all its words look telling."""
+def _lists(at: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+    return [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v)) for v in values]
+
+
+def _example_terms(examples: DataFrame) -> DataFrame:
+    """(doc_id, toxic, term, times) of each example, as a written table."""
 
-    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toxic = np.asarray(b.column(1))
-            for i, part in chunks(b.column(0).to_pylist()):
-                w = Words(part)
-                if not len(w.hash):
-                    continue
-                after = np.append(w.hash[1:], np.uint64(0)) * np.uint64(RADIX)
-                after[w.at[1:][np.diff(w.at) > 0] - 1] = 7
-                key = mix(w.hash ^ mix(after)) & ~np.uint64(1) | (toxic[i + w.doc] > 0).astype(np.uint64)
-                _, first = np.unique(key, return_index=True)
-                cols = [pa.array(x.view(np.int64)) for x in (w.hash[first], key[first] >> np.uint64(1))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array((key[first] & np.uint64(1)).astype(np.int32))], names=["w", "c", "toxic"])
-
-    seen = examples.select("text", "toxic").mapInArrow(pairs, "w bigint, c bigint, toxic int")
-    by_pair = seen.groupBy("w", "c").agg(F.max("toxic").alias("t"), F.min("toxic").alias("f"))
-    counts = by_pair.groupBy("w").agg(F.sum("t").alias("t"), F.sum(1 - F.col("f")).alias("c"))
-    counts = saved(counts, "terms")
-    total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).head()
-    if not total or not total["t"] or not total["c"]:
-        drop(counts)
-        return np.zeros(0, np.uint64)
-    rate = total["t"] / (total["t"] + total["c"])
-    n = F.col("t") + F.col("c")
-    g2 = 2 * (F.col("t") * F.log(F.col("t") / (n * rate)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - rate)))).otherwise(0.0))
-    lift = (F.col("t") / F.lit(float(total["t"]))) / ((F.col("c") + 0.5) / F.lit(float(total["c"])))
-    chosen = counts.where(F.col("t") >= LEAST_TOXIC).where((g2 >= LEAST_G2) & (lift >= LEAST_LIFT)).select("w").collect()
-    drop(counts)
-    return np.sort(np.array([r["w"] for r in chosen], np.int64).view(np.uint64))
+            for i, part in chunks(b.column(1).to_pylist()):
+                doc, term, times = term_counts(part)
+                lists = _lists(np.searchsorted(doc, np.arange(len(part) + 1)), term.view(np.int64), times.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), b.column(2).slice(i, len(part)), *lists], names=["doc_id", "toxic", "term", "times"])
 
+    return saved(examples.mapInArrow(terms, "doc_id bigint, toxic int, term array<bigint>, times array<bigint>"), "example-terms")
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
-    """The model of labels(doc_id, toxic): terms and neighbours from at most `most` labelled rows, document
-    frequencies from all of docs(doc_id, text)."""
-    examples = _examples(docs, labels, most)
-    vocabulary = _vocabulary(examples)
+
+def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many rows docs has, and how many of them hold each term."""
     v = len(vocabulary)
+    given = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def frequency(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(v, np.int64), 0
+        df, n = np.zeros(v + 1, np.int64), 0
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 for _, part in chunks(b.column(0).slice(i, 1024).to_pylist()):
-                    _, term, _ = term_counts(part, vocabulary)
-                    df += np.bincount(term, minlength=v)[:v]
+                    df += np.bincount(term_counts(part, given.value)[1], minlength=v + 1)
             n += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(v), -1)), pa.array(np.append(df, n))], names=["term", "df"])
+        df[v] = n
+        have = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(have), pa.array(df[have])], names=["term", "df"])
 
-    # An empty vocabulary asks for nothing of the texts.
-    found = {r["term"]: r["df"] for r in pruned(docs, "text").mapInArrow(frequency, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()} if v else {}
-    n = found.get(-1, 0)
-    idf = np.array([math.log((1 + n) / (1 + found.get(t, 0))) + 1 for t in range(v)])
+    t = pruned(docs, "text").mapInArrow(frequency, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(v + 1, np.int64)
+    df[np.asarray(t.column("term"))] = np.asarray(t.column("df"))
+    given.destroy()
+    return int(df[v]), df[:v]
 
-    def terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, part in chunks(b.column(1).to_pylist()):
-                doc, term, times = term_counts(part, vocabulary)
-                at = np.searchsorted(doc, np.arange(len(part) + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (term, times)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), b.column(2).slice(i, len(part)), *lists], names=["doc_id", "toxic", "term", "times"])
 
-    t = examples.mapInArrow(terms, "doc_id bigint, toxic int, term array<bigint>, times array<bigint>").orderBy("doc_id").toArrow()
+def _flat(t: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(np.asarray(c.flatten()) for c in t.column(name).chunks)]).astype(np.int64)
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
+    """The model of labels(doc_id, toxic): every term of at most `most` labelled rows, all of them in the index; document
+    frequencies from all of docs(doc_id, text). Votes are calibrated on the examples, each judged by the others."""
+    examples = _examples(docs, labels, most)
+    held = _example_terms(examples)
     drop(examples)
-    toxic = np.array(t.column("toxic").to_pylist(), float) > 0
-    term_lists = t.column("term").to_pylist()
-    size = np.array([len(x) for x in term_lists], np.int64)
-    have = size > 0
-    prior = float(toxic.mean()) if len(toxic) else 0.0
-    base = float(toxic[~have].mean()) if (~have).any() else prior
-    example = np.repeat(np.arange(int(have.sum())), size[have])
-    term = np.array([x for xs in term_lists for x in xs], np.int64)
-    times = np.array([x for xs in t.column("times").to_pylist() for x in xs], np.int64)
-    model = Model(vocabulary, idf, BlockMaxIndex(np.zeros(0, np.int64), np.zeros(0), example[:0], term[:0], np.zeros(0), v), base, prior)
-    w, at = model.vectors(example, term, times, int(have.sum()))
-    model.index = BlockMaxIndex(np.array(t.column("doc_id").to_pylist(), np.int64)[have], toxic[have].astype(float), example, term, w, v)
-    votes = []
-    for i in range(int(have.sum())):  # each example judged by the others
-        near, cos = model.index.search(term[at[i] : at[i + 1]], w[at[i] : at[i + 1]], NEIGHBOURS, without=i)
-        votes.append(model.vote(near, cos) if len(near) else base)
-    model.steps = isotonic(np.array(votes), model.index.toxic)
+    t = held.orderBy("doc_id").toArrow()  # the examples' terms: bounded by their number and lengths
+    ids, toxic = np.asarray(t.column("doc_id")).astype(np.int64), np.asarray(t.column("toxic")).astype(float) > 0
+    size = np.concatenate([np.zeros(0, np.int64), *(np.asarray(c.value_lengths()) for c in t.column("term").chunks)]).astype(np.int64)
+    own, times = _flat(t, "term").view(np.uint64), _flat(t, "times")
+    del t
+    vocabulary = np.unique(own)
+    term, example = np.searchsorted(vocabulary, own), np.repeat(np.arange(len(ids)), size)
+    n, df = _frequencies(docs, vocabulary)
+    idf = np.log((1 + n) / (1 + df)) + 1e-3  # a term of all documents keeps a little
+    idf = np.maximum(1e-3, idf) * emphasis(term, toxic[example].astype(float), len(vocabulary))
+    model = Model(vocabulary, idf, None, float(toxic.mean()) if len(toxic) else 0.0)
+    model.index = BlockMaxIndex(ids, toxic.astype(float), example, term, model.vectors(example, term, times, len(ids)), len(vocabulary))
+    sc = docs.sparkSession.sparkContext
+    given = sc.broadcast(model)
+
+    def votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = given.value
+        for b in batches:
+            x = pa.Table.from_batches([b])
+            doc = np.repeat(np.arange(b.num_rows), np.asarray(b.column(2).value_lengths()))
+            own = np.searchsorted(m.vocabulary, _flat(x, "term").view(np.uint64))
+            weight = m.vectors(doc, own, _flat(x, "times"), b.num_rows)
+            found = m.index.search(doc, own, weight, b.num_rows, NEIGHBOURS, np.searchsorted(m.index.ids, np.asarray(b.column(0))))
+            yield pa.RecordBatch.from_arrays([pa.array([m.vote(*f) if len(f[0]) else m.prior for f in found]), b.column(1)], names=["vote", "toxic"])
+
+    judged = held.repartition(sc.defaultParallelism).mapInArrow(votes, "vote double, toxic int").toArrow()
+    model.steps = isotonic(np.asarray(judged.column("vote")), np.asarray(judged.column("toxic")) > 0)
+    given.destroy()
+    drop(held)
     return model
 
 
@@ -239,12 +320,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Da
     """(doc_id, score, is_toxic, evidence_ids, evidence_cosines) for every row of docs(doc_id, text).
 
     score: share of toxic labels among the NEIGHBOURS examples of greatest cosine, weighted by 1 / distance and
-    calibrated by isotonic regression on examples judged without themselves; evidence lists those neighbours. Vectors
-    hold the terms that mark the label; a text without any (null and empty ones too) has no neighbours and the
-    rate of such examples as its score. is_toxic: score >= 0.5 with evidence. Equal cosines go to the smaller doc_id of
-    the example. At most `most` labelled rows are fitted (rows without label or doc_id don't count, a repeated
-    doc_id is toxic if any of its rows is); without examples of both kinds nobody is toxic. A null doc_id stays null,
-    repeated rows are judged each, other columns are not read. Two passes over the texts, no shuffle of them.
+    calibrated by isotonic regression on examples judged without themselves; evidence lists those neighbours. Vectors hold
+    every word of the labelled examples: (1 + ln times) x idf over all documents x a factor of at least 1 that words of
+    toxic examples get (`emphasis`). A text without any such word (null and empty ones too) has no neighbours and the rate
+    of toxic examples as its score. is_toxic: score >= 0.5 with evidence. Cosines that agree to five places are equal
+    and go to the smaller doc_id of the example. At most `most` labelled rows are fitted (rows without label or doc_id
+    don't count, a repeated doc_id is toxic if any of its rows is); without examples of both kinds nobody is toxic. A null
+    doc_id stays null, repeated rows are judged each, other columns are not read. Two passes over the texts, no
+    shuffle of them.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most))
 
@@ -254,17 +337,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Da
             for k in range(0, b.num_rows, 1024):
                 for i, part in chunks(b.column(1).slice(k, 1024).to_pylist()):
                     score, ids, cos = m.score(part)
-                    flag = toxic_flags(score, ids)
+                    flag = toxic_flags(m, score, ids)
+                    at = np.cumsum([0, *map(len, ids)])
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).slice(k + i, len(part)), pa.array(score), pa.array(flag), pa.array(ids, pa.list_(pa.int64())), pa.array(cos, pa.list_(pa.float64()))],
+                        [b.column(0).slice(k + i, len(part)), pa.array(score), pa.array(flag), *_lists(at, np.concatenate(ids), np.concatenate(cos))],
                         names=["doc_id", "score", "is_toxic", "evidence_ids", "evidence_cosines"],
                     )
 
     return pruned(docs, "doc_id", "text").mapInArrow(judge, "doc_id bigint, score double, is_toxic boolean, evidence_ids array<bigint>, evidence_cosines array<double>")
 
 
-def toxic_flags(score: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
-    return (score >= SCORE) & np.array([len(x) > 0 for x in ids], bool)
+def toxic_flags(model: Model, score: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
+    return (score >= SCORE) & np.array([len(x) > 0 for x in ids], bool) & (0 < model.prior < 1)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> DataFrame:
@@ -279,7 +363,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES)
             for k in range(0, b.num_rows, 1024):
                 for i, part in chunks(b.column(at).slice(k, 1024).to_pylist()):
                     score, ids, _ = m.score(part)
-                    flags[k + i : k + i + len(part)] = toxic_flags(score, ids)
+                    flags[k + i : k + i + len(part)] = toxic_flags(m, score, ids)
             yield b.filter(pa.array(~flags))
 
     return through(docs, keep)
