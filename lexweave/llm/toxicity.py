@@ -21,6 +21,10 @@ BLOCK = 64
 FULL = 16
 #: Blocks that are scored before the k-th best cosine rules others out; texts whose full rows are multiplied at once.
 FIRST_BLOCKS, GROUP = 6, 64
+#: Postings of a term up to which they are read at once, without largest weights by block.
+FEW = 8
+#: Blocks are scored by their own postings if they are fewer than one in so many; else reading whole lists is faster.
+SPARSE = 16
 #: Cosines count as equal if they agree to so many places.
 PLACES = 5
 SCORE = 0.5
@@ -52,6 +56,21 @@ def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two small floats in one number each: what is read together lies together."""
+    return np.stack([a, b], axis=1).astype(np.float32).view(np.uint64).ravel()
+
+
+def _joined(pairs: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both of pairs[start[0] : end[0]], pairs[start[1] : end[1]], ..., the first as an integer."""
+    return _apart(np.concatenate([pairs[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]) if len(start) else pairs[:0])
+
+
+def _apart(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = pairs.view(np.float32).reshape(-1, 2)
+    return both[:, 0].astype(np.int64), both[:, 1]
+
+
 def _alike(rows: np.ndarray, size: np.ndarray, axes: int = 4) -> np.ndarray:
     """An order of the columns of `rows` that puts like ones together: halves along the main axes, then by size."""
     n = rows.shape[1]
@@ -73,13 +92,19 @@ class BlockMaxIndex:
 
     A search bounds each block by the sum of its terms' largest products, scores the blocks of the highest bounds, and then
     all others whose bound reaches the k-th best cosine so far: the result is exact. Terms that many examples hold are
-    multiplied for all of them at once, so their share of a bound is exact. Ties go to the example that comes first.
+    multiplied for all of them at once, and those with FEW postings need no largest weights; both count exactly in a bound.
+    Ties go to the example that comes first.
     """
 
     def __init__(self, ids: np.ndarray, toxic: np.ndarray, example: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int):
         self.ids, self.toxic, self.n = ids, toxic, len(ids)
         self.blocks = -(-self.n // BLOCK)
         held = np.bincount(term, minlength=terms)
+        # Frequent terms first: what many searches read lies together.
+        order = np.argsort(-held, kind="stable")
+        self.rank = np.empty(terms, np.int32)
+        self.rank[order] = np.arange(terms)
+        term, held = self.rank[term], held[order]
         full = np.flatnonzero(held * FULL > self.n)
         self.row = np.full(terms, -1, np.int32)
         self.row[full] = np.arange(len(full))
@@ -92,19 +117,25 @@ class BlockMaxIndex:
         self.full = rows[:, self.number]
         term, example, weight = term[~own], self.place[example[~own]], weight[~own]
         order = np.lexsort((example, term))
-        term, self.at_place, self.weight = term[order], example[order].astype(np.int32), weight[order].astype(np.float32)
-        block = self.at_place // BLOCK
-        first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, np.int64)
-        self.entry_block = block[first].astype(np.int32)
-        self.entry_at = np.append(first, len(term)).astype(np.int32)
-        self.entry_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
-        self.term_at = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)
+        term, example, weight = term[order], example[order], weight[order]
+        self.posting = _paired(example, weight)
+        self.posting_at = np.searchsorted(term, np.arange(terms + 1)).astype(np.int32)
+        block = example // BLOCK
+        several = np.diff(self.posting_at)[term] > FEW if len(term) else np.zeros(0, bool)
+        first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])) & several) if len(term) else np.zeros(0, np.int64)
+        stop = np.append(first[1:], len(term))
+        stop = np.minimum(stop, self.posting_at[term[first] + 1]) if len(first) else first
+        self.run = np.stack([first, stop], axis=1).astype(np.int32)
+        most = np.zeros(len(first))
+        np.maximum.at(most, np.repeat(np.arange(len(first)), stop - first), weight[_runs(first, stop - first)])
+        self.entry = _paired(block[first], most)
+        self.entry_at = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)
 
     def search(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each of n texts (doc ascending) numbers and cosines of the k nearest of positive cosine, best first;
         `without`: an example for each text to leave out."""
         at = np.searchsorted(doc, np.arange(n + 1))
-        weight = weight.astype(np.float32)
+        term, weight = self.rank[term], weight.astype(np.float32)
         for g in range(0, n, GROUP):
             end = min(n, g + GROUP)
             a, b = at[g], at[end]
@@ -120,14 +151,16 @@ class BlockMaxIndex:
     def _nearest(self, base: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
         if not self.n:
             return np.zeros(0, np.int64), np.zeros(0)
-        start, end = self.term_at[term], self.term_at[term + 1]
-        ranges = list(zip(start.tolist(), end.tolist(), strict=True))
-        block = np.concatenate([self.entry_block[a:b] for a, b in ranges]) if ranges else self.entry_block[:0]
-        product = np.concatenate([self.entry_most[a:b] for a, b in ranges]) * np.repeat(weight, end - start) if ranges else self.entry_most[:0]
-        bound = np.maximum.reduceat(base, np.arange(0, self.n, BLOCK)) + np.bincount(block, weights=product, minlength=self.blocks)
+        start, end = self.posting_at[term], self.posting_at[term + 1]
+        few = end - start <= FEW
+        base = base + self._summed(start[few], end[few], weight[few])
+        term, weight = term[~few], weight[~few]
+        start, end = self.entry_at[term], self.entry_at[term + 1]
+        block, most = _joined(self.entry, start, end)
+        bound = np.maximum.reduceat(base, np.arange(0, self.n, BLOCK)) + np.bincount(block, weights=most * np.repeat(weight, end - start), minlength=self.blocks)
         chosen = np.zeros(self.blocks, bool)
         chosen[np.argpartition(-bound, min(FIRST_BLOCKS, self.blocks) - 1)[:FIRST_BLOCKS]] = True
-        own = (base, start, end, block, weight, k, without)
+        own = (base, term, block, weight, k, without)
         best, cos = self._scored(chosen, *own)
         least = cos[k - 1] - 10.0**-PLACES if len(cos) >= k else 0.0
         more = ~chosen & (bound > 0) & (bound >= least)
@@ -138,22 +171,25 @@ class BlockMaxIndex:
             best, cos = best[order], cos[order]
         return best, cos
 
-    def _scored(self, blocks: np.ndarray, base: np.ndarray, start: np.ndarray, end: np.ndarray, block: np.ndarray, weight: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+    def _summed(self, start: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What whole lists add to each example."""
+        place, own = _joined(self.posting, start, end)
+        return np.bincount(place, weights=own * np.repeat(weight, end - start), minlength=self.n)
+
+    def _scored(self, blocks: np.ndarray, base: np.ndarray, term: np.ndarray, block: np.ndarray, weight: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest of some blocks."""
-        if 4 * np.count_nonzero(blocks) < self.blocks:  # their own postings
+        which = np.flatnonzero(np.repeat(blocks, BLOCK)[: self.n])
+        if SPARSE * np.count_nonzero(blocks) < self.blocks:  # their own postings
+            size = self.entry_at[term + 1] - self.entry_at[term]
             pick = np.flatnonzero(blocks[block])
-            term = np.searchsorted(np.cumsum(end - start), pick, side="right")
-            entry = pick + (start - np.cumsum(end - start) + (end - start))[term] if len(pick) else pick
-            size = self.entry_at[entry + 1] - self.entry_at[entry]
-            at = _runs(self.entry_at[entry], size)
-            place, product = self.at_place[at], self.weight[at] * np.repeat(weight[term], size)
+            of = np.searchsorted(np.cumsum(size), pick, side="right")
+            run = self.run[pick + (self.entry_at[term] - np.cumsum(size) + size)[of]]
+            size = run[:, 1] - run[:, 0]
+            place, own = _apart(self.posting[_runs(run[:, 0], size)])
+            added = np.bincount(place, weights=own * np.repeat(weight[of], size), minlength=self.n)
         else:  # whole lists, which lie together
-            a, b = self.entry_at[start], self.entry_at[end]
-            ranges = list(zip(a.tolist(), b.tolist(), strict=True))
-            place = np.concatenate([self.at_place[x:y] for x, y in ranges]) if ranges else self.at_place[:0]
-            product = np.concatenate([self.weight[x:y] for x, y in ranges]) * np.repeat(weight, b - a) if ranges else self.weight[:0]
-        which = np.flatnonzero(np.repeat(blocks, BLOCK)[: self.n])
-        score = np.round((np.bincount(place, weights=product, minlength=self.n) + base)[which], PLACES)
+            added = self._summed(self.posting_at[term], self.posting_at[term + 1], weight)
+        score = np.round((added + base)[which], PLACES)
         good = (score > 0) & (which != without)
         which, score = which[good], score[good]
         if len(which) > k:
