@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import Words, chunks
+from .kernels import Words, chunks, release
 from .work import drop, places, pruned, saved, through
 
 #: Labelled rows that are fitted at most: the ones with the least hash of their doc_id.
@@ -58,7 +59,9 @@ def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Two small floats in one number each: what is read together lies together."""
-    return np.stack([a, b], axis=1).astype(np.float32).view(np.uint64).ravel()
+    out = np.empty((len(a), 2), np.float32)
+    out[:, 0], out[:, 1] = a, b
+    return out.view(np.uint64).ravel()
 
 
 def _joined(pairs: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,29 +107,29 @@ class BlockMaxIndex:
         order = np.argsort(-held, kind="stable")
         self.rank = np.empty(terms, np.int32)
         self.rank[order] = np.arange(terms)
-        term, held = self.rank[term], held[order]
-        full = np.flatnonzero(held * FULL > self.n)
-        self.row = np.full(terms, -1, np.int32)
-        self.row[full] = np.arange(len(full))
-        rows = np.zeros((len(full), self.n), np.float32)
-        own = self.row[term] >= 0
-        rows[self.row[term[own]], example[own]] = weight[own]
+        held = held[order]
+        term = self.rank[term]
+        full = int(np.searchsorted(-held * FULL, -self.n, side="left"))  # these come first
+        rows = np.zeros((full, self.n), np.float32)
+        own = term < full
+        rows[term[own], example[own]] = weight[own]
         self.number = _alike(rows, np.bincount(example, minlength=self.n))  # of the example at each place
-        self.place = np.empty(self.n, np.int64)
+        self.place = np.empty(self.n, np.int32)
         self.place[self.number] = np.arange(self.n)
         self.full = rows[:, self.number]
+        del rows
         term, example, weight = term[~own], self.place[example[~own]], weight[~own]
-        order = np.lexsort((example, term))
+        order = np.argsort(term.astype(np.int64) * max(1, self.n) + example)
         term, example, weight = term[order], example[order], weight[order]
-        self.posting = _paired(example, weight)
+        del order, own
+        self.posting = _paired(example, weight)  # place, weight
         self.posting_at = np.searchsorted(term, np.arange(terms + 1)).astype(np.int32)
         block = example // BLOCK
-        several = np.diff(self.posting_at)[term] > FEW if len(term) else np.zeros(0, bool)
-        first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])) & several) if len(term) else np.zeros(0, np.int64)
-        stop = np.append(first[1:], len(term))
-        stop = np.minimum(stop, self.posting_at[term[first] + 1]) if len(first) else first
+        first = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])) if len(term) else np.zeros(0, bool)
+        first = np.flatnonzero(first & (np.diff(self.posting_at)[term] > FEW)).astype(np.int32)
+        stop = np.minimum(np.append(first[1:], len(term)), self.posting_at[term[first] + 1])[: len(first)] if len(first) else first
         self.run = np.stack([first, stop], axis=1).astype(np.int32)
-        most = np.zeros(len(first))
+        most = np.zeros(len(first), np.float32)
         np.maximum.at(most, np.repeat(np.arange(len(first)), stop - first), weight[_runs(first, stop - first)])
         self.entry = _paired(block[first], most)
         self.entry_at = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)
@@ -139,13 +142,13 @@ class BlockMaxIndex:
         for g in range(0, n, GROUP):
             end = min(n, g + GROUP)
             a, b = at[g], at[end]
-            row = self.row[term[a:b]]
+            own = term[a:b] < len(self.full)
             q = np.zeros((end - g, len(self.full)), np.float32)
-            q[doc[a:b][row >= 0] - g, row[row >= 0]] = weight[a:b][row >= 0]
+            q[doc[a:b][own] - g, term[a:b][own]] = weight[a:b][own]
             base = q @ self.full
             for d in range(g, end):
                 own = slice(at[d], at[d + 1])
-                rare = self.row[term[own]] < 0
+                rare = term[own] >= len(self.full)
                 yield self._nearest(base[d - g], term[own][rare], weight[own][rare], k, -1 if without is None else int(self.place[without[d]]))
 
     def _nearest(self, base: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,35 +207,35 @@ class BlockMaxIndex:
 class Model:
     vocabulary: np.ndarray
     idf: np.ndarray
-    index: BlockMaxIndex
+    index: BlockMaxIndex | None
     prior: float
-    steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
 
     def vectors(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
         """Weights (1 + ln tf) idf of unit length."""
         w = (1 + np.log(times)) * self.idf[term] if len(term) else np.zeros(0)
         norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=n))
-        return w / np.maximum(norm[doc], 1e-300) if len(term) else w
+        return (w / np.maximum(norm[doc], 1e-300)).astype(np.float32) if len(term) else w
 
     def vote(self, near: np.ndarray, cos: np.ndarray) -> float:
         """Votes weighted by 1 / distance, with the prior as one vote from the greatest distance."""
         w = 1 / (1 - cos + 0.02)
         return float((w @ self.index.toxic[near] + self.prior) / (w.sum() + 1))
 
-    def calibrated(self, vote: float) -> float:
-        return float(np.interp(vote, *self.steps)) if len(self.steps[0]) else vote
-
-    def score(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    def score(self, texts: list[str], steps: Steps) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         doc, term, times = term_counts(texts, self.vocabulary)
         score, ids, cosines = np.full(len(texts), self.prior), [], []
         for d, (near, cos) in enumerate(self.index.search(doc, term, self.vectors(doc, term, times, len(texts)), len(texts), NEIGHBOURS)):
             if len(near):
-                score[d] = self.calibrated(self.vote(near, cos))
+                score[d] = np.interp(self.vote(near, cos), *steps)
             ids.append(self.index.ids[near])
             cosines.append(cos)
         return score, ids, cosines
 
 
+#: Points between which votes are calibrated.
+Steps = tuple[np.ndarray, np.ndarray]
+
+
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The non-decreasing step function nearest to y at x, by pooling adjacent violators, as points to interpolate."""
     order = np.argsort(x, kind="stable")
@@ -253,8 +256,8 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def emphasis(term: np.ndarray, toxic: np.ndarray, terms: int) -> np.ndarray:
     """The factor of each term's idf: 1, more by the evened-out log ratio of its rate of toxic examples to the overall one.
     term, toxic: of each posting."""
-    held, bad = np.bincount(term, minlength=terms), np.bincount(term, weights=toxic, minlength=terms)
-    rate = toxic.sum() / max(1, len(toxic))
+    held, bad = np.bincount(term, minlength=terms), np.bincount(term, weights=toxic.astype(np.float32), minlength=terms)
+    rate = float(toxic.sum()) / max(1, len(toxic))
     if not rate:
         return np.ones(terms)
     return 1 + EMPHASIS * np.maximum(0, np.log((bad + EVEN * rate) / ((held + EVEN) * rate)))
@@ -281,10 +284,10 @@ def _example_terms(examples: DataFrame) -> DataFrame:
         for b in batches:
             for i, part in chunks(b.column(1).to_pylist()):
                 doc, term, times = term_counts(part)
-                lists = _lists(np.searchsorted(doc, np.arange(len(part) + 1)), term.view(np.int64), times.astype(np.int64))
+                lists = _lists(np.searchsorted(doc, np.arange(len(part) + 1)), term.view(np.int64), times.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), b.column(2).slice(i, len(part)), *lists], names=["doc_id", "toxic", "term", "times"])
 
-    return saved(examples.mapInArrow(terms, "doc_id bigint, toxic int, term array<bigint>, times array<bigint>"), "example-terms")
+    return saved(examples.mapInArrow(terms, "doc_id bigint, toxic int, term array<bigint>, times array<int>"), "example-terms")
 
 
 def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
@@ -310,11 +313,11 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarr
     return int(df[v]), df[:v]
 
 
-def _flat(t: pa.Table, name: str) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *(np.asarray(c.flatten()) for c in t.column(name).chunks)]).astype(np.int64)
+def _flat(t: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.asarray(c.flatten()) for c in t.column(name).chunks)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> tuple[Broadcast, Steps]:
     """The model of labels(doc_id, toxic): every term of at most `most` labelled rows, all of them in the index; document
     frequencies from all of docs(doc_id, text). Votes are calibrated on the examples, each judged by the others."""
     examples = _examples(docs, labels, most)
@@ -322,34 +325,41 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
     drop(examples)
     t = held.orderBy("doc_id").toArrow()  # the examples' terms: bounded by their number and lengths
     ids, toxic = np.asarray(t.column("doc_id")).astype(np.int64), np.asarray(t.column("toxic")).astype(float) > 0
-    size = np.concatenate([np.zeros(0, np.int64), *(np.asarray(c.value_lengths()) for c in t.column("term").chunks)]).astype(np.int64)
-    own, times = _flat(t, "term").view(np.uint64), _flat(t, "times")
+    example = np.repeat(np.arange(len(ids), dtype=np.int32), np.concatenate([np.zeros(0, np.int64), *(np.asarray(c.value_lengths()) for c in t.column("term").chunks)]).astype(np.int64))
+    own, times = _flat(t, "term", np.int64).view(np.uint64), _flat(t, "times", np.int32)
     del t
     vocabulary = np.unique(own)
-    term, example = np.searchsorted(vocabulary, own), np.repeat(np.arange(len(ids)), size)
+    term = np.searchsorted(vocabulary, own).astype(np.int32)
+    del own
+    release()
     n, df = _frequencies(docs, vocabulary)
-    idf = np.log((1 + n) / (1 + df)) + 1e-3  # a term of all documents keeps a little
-    idf = np.maximum(1e-3, idf) * emphasis(term, toxic[example].astype(float), len(vocabulary))
+    idf = np.maximum(1e-3, np.log((1 + n) / (1 + df)) + 1e-3)  # a term of all documents keeps a little
+    idf *= emphasis(term, toxic[example], len(vocabulary))
     model = Model(vocabulary, idf, None, float(toxic.mean()) if len(toxic) else 0.0)
     model.index = BlockMaxIndex(ids, toxic.astype(float), example, term, model.vectors(example, term, times, len(ids)), len(vocabulary))
+    del example, term, times
     sc = docs.sparkSession.sparkContext
     given = sc.broadcast(model)
+    del model
+    release()
 
     def votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = given.value
         for b in batches:
             x = pa.Table.from_batches([b])
             doc = np.repeat(np.arange(b.num_rows), np.asarray(b.column(2).value_lengths()))
-            own = np.searchsorted(m.vocabulary, _flat(x, "term").view(np.uint64))
-            weight = m.vectors(doc, own, _flat(x, "times"), b.num_rows)
+            own = np.searchsorted(m.vocabulary, _flat(x, "term", np.int64).view(np.uint64))
+            weight = m.vectors(doc, own, _flat(x, "times", np.int32), b.num_rows)
             found = m.index.search(doc, own, weight, b.num_rows, NEIGHBOURS, np.searchsorted(m.index.ids, np.asarray(b.column(0))))
             yield pa.RecordBatch.from_arrays([pa.array([m.vote(*f) if len(f[0]) else m.prior for f in found]), b.column(1)], names=["vote", "toxic"])
 
     judged = held.repartition(sc.defaultParallelism).mapInArrow(votes, "vote double, toxic int").toArrow()
-    model.steps = isotonic(np.asarray(judged.column("vote")), np.asarray(judged.column("toxic")) > 0)
-    given.destroy()
     drop(held)
-    return model
+    steps = isotonic(np.asarray(judged.column("vote")), np.asarray(judged.column("toxic")) > 0)
+    # Without examples of both kinds nothing can be told apart.
+    if not len(toxic) or toxic.all() or not toxic.any():
+        steps = (np.zeros(1), np.zeros(1))
+    return given, steps
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> DataFrame:
@@ -365,41 +375,40 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Da
     doc_id stays null, repeated rows are judged each, other columns are not read. Two passes over the texts, no
     shuffle of them.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most))
+    model, steps = fit(docs, labels, most)
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 for i, part in chunks(b.column(1).slice(k, 1024).to_pylist()):
-                    score, ids, cos = m.score(part)
-                    flag = toxic_flags(m, score, ids)
+                    score, ids, cos = model.value.score(part, steps)
                     at = np.cumsum([0, *map(len, ids)])
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).slice(k + i, len(part)), pa.array(score), pa.array(flag), *_lists(at, np.concatenate(ids), np.concatenate(cos))],
+                        [b.column(0).slice(k + i, len(part)), pa.array(score), pa.array(toxic_flags(score, ids)), *_lists(at, np.concatenate(ids), np.concatenate(cos))],
                         names=["doc_id", "score", "is_toxic", "evidence_ids", "evidence_cosines"],
                     )
+        release()
 
     return pruned(docs, "doc_id", "text").mapInArrow(judge, "doc_id bigint, score double, is_toxic boolean, evidence_ids array<bigint>, evidence_cosines array<double>")
 
 
-def toxic_flags(model: Model, score: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
-    return (score >= SCORE) & np.array([len(x) > 0 for x in ids], bool) & (0 < model.prior < 1)
+def toxic_flags(score: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
+    return (score >= SCORE) & np.array([len(x) > 0 for x in ids], bool)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> DataFrame:
     """The rows of docs that `toxicity` doesn't call toxic, with all their columns; one pass, nothing shuffled."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most))
+    model, steps = fit(docs, labels, most)
     at = places(docs, "text")[0]
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
         for b in batches:
             flags = np.zeros(b.num_rows, bool)
             for k in range(0, b.num_rows, 1024):
                 for i, part in chunks(b.column(at).slice(k, 1024).to_pylist()):
-                    score, ids, _ = m.score(part)
-                    flags[k + i : k + i + len(part)] = toxic_flags(m, score, ids)
+                    score, ids, _ = model.value.score(part, steps)
+                    flags[k + i : k + i + len(part)] = toxic_flags(score, ids)
             yield b.filter(pa.array(~flags))
+        release()
 
     return through(docs, keep)

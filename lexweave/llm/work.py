@@ -11,14 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder as a URI; one of our own is set only where the session has none."""
+    """The shared folder as a URI. Without that setting a local session gets a temporary folder of this process; a cluster,
+    whose executors wouldn't share it, gets an error."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lexweave-")
-        sc.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="lexweave-"))
+        base = _OWN[0]
     return (base if "://" in base else "file://" + base).rstrip("/")
 
 

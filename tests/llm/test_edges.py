@@ -79,7 +79,7 @@ def test_quality(docs, labels):
 def test_shards(docs):
     out = sstable.token_shards(docs, shard_bytes=100).collect()
     stored = [(i, x) for r in out for i, x in sstable.Reader(bytes(r.sst)).items()]
-    assert len(stored) == n(docs.where("`doc_id` IS NOT NULL")) if "TEXT" not in docs.columns else True
+    assert len(stored) == sum(r[0] is not None for r in docs.collect())
     if n(docs):
         assert sorted(i for i, _ in stored) == [1, 2, 2, 3, 4, 5, 6, 7, 8, 8]
         assert [x for i, x in stored if i in (3, 4)] == [[], []]
@@ -105,9 +105,9 @@ def test_decontamination(docs, bench):
 def test_warc(spark):
     rows = [(1, "http://a/ b\n", "<p>x</p>"), (1, "http://a/ b\n", "<p>x</p>"), (None, None, "<p>x</p>"), (2, "u", None), (3, "u", ""), (4, None, "é" * 3_000_000)]
     p = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"offset": F.lit(1), "digest": F.lit("z")})
-    out = sorted((str(r.page_id), r.url, len(r.html)) for r in warc.archive_and_read(p).collect())
+    out = sorted((str(r.page_id), r.url, len(r.html)) for r in warc.archive_and_read(p, warc.first_captures).collect())
     assert out == [("3", "u", 0), ("4", None, 3_000_000), ("None", None, 8)]
-    assert n(warc.archive_and_read(p, lambda i: i)) == 5
+    assert n(warc.archive_and_read(p)) == 5
     assert n(warc.archive_and_read(p.limit(0))) == 0
 
 
@@ -128,6 +128,13 @@ def test_mixing(docs):
     assert out.columns == [*docs.columns, name]
     assert abs(n(out) - n(docs)) <= 4
     assert n(mixing.mix_sources(docs, {})) == 0
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(docs, {"a": bad})
+        with pytest.raises(ValueError):
+            mixing.mix_sources(docs, epochs=bad)
+    with pytest.raises(ValueError):
+        sstable.token_shards(docs, shard_bytes=0)
 
 
 def test_pipeline_stages(spark, docs, labels, bench, tmp_path):

@@ -272,6 +272,37 @@ def test_kneser_ney_sums_to_one_and_matches_its_definition(spark):
         assert math.isclose(math.exp(t.log_prob(np.array([c], np.uint64))[0]), prob(4, c), rel_tol=1e-4)
 
 
+def test_joined_scores_equal_loaded_ones(spark, docs):
+    d = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(-1, "", "en"), (-2, None, "en"), (-3, "zz top \u1234", "xx"), (None, "the zq", None)], "doc_id long, text string, lang string"))
+    texts = [r.text for r in docs.where("lang = 'en'").limit(20).collect()]
+    code, n = grams(spark, texts)
+    counts = spark.createDataFrame([(k, int(c), int(x)) for k in ("en", "de") for c, x in zip(code, n)], "lang string, code long, n long")
+    tables = kneser_ney.kneser_ney_tables(counts)
+    rows = lambda out: {r.doc_id: r for r in out.collect()}
+    loaded, joined = (rows(bytegrams.scored(d, tables, ["doc_id", "lang"], "lang", worker_mb=mb)) for mb in (256, 0))
+    assert set(loaded) == set(joined)
+    for i, r in loaded.items():
+        assert r.n_bytes == joined[i].n_bytes and (r.log_prob is None) == (joined[i].log_prob is None)
+        assert r.log_prob is None or math.isclose(r.log_prob, joined[i].log_prob, rel_tol=1e-4, abs_tol=1e-6)
+    assert loaded[-3].log_prob is None and loaded[-1].log_prob == 0.0 and sum(r.log_prob is not None for r in loaded.values()) > 100
+
+
+def test_parts_of_joined_scores(spark, docs):
+    one = spark.createDataFrame([("", int(c), int(x)) for c, x in zip(*grams(spark, ["abc abd", "the cat"]))], "lang string, code long, n long")
+    tables = kneser_ney.kneser_ney_tables(one)
+    few, many = ({r.doc_id: r.log_prob for r in bytegrams.joined_scores(docs, tables, ["doc_id"], part=p).collect()} for p in (1 << 24, 20_000))
+    assert few.keys() == many.keys() and all(math.isclose(v, many[k], rel_tol=1e-9) for k, v in few.items())
+
+
+def test_a_language_of_few_trusted_texts_has_a_threshold(spark):
+    rows = [(i, f"a text number {i} of the common kind, said in so many words", "en") for i in range(40)] + [(100 + i, f"ein anderer Text Nummer {i} mit einigen Worten", "de") for i in range(3)]
+    rows += [(200, "%%%%### zq xx $$ @@ ~~ ^^ qqqqzzzzxxxx \u2603\u2603 vvvvkkkk" * 40, "de")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in rows if i < 200], "doc_id long, quality int")
+    out = {r.doc_id: r for r in kneser_ney.quality(d, labels).collect()}
+    assert out[200].threshold is not None and not out[200].keep and out[101].keep
+
+
 def test_pitman_yor_sums_to_one_and_prefers_what_it_has_seen(spark):
     code, n = grams(spark, ["the cat sat on the mat"] * 20 + ["a dog ran off"] * 5)
     counts = spark.createDataFrame([(int(c), int(k)) for c, k in zip(code, n)], "code long, n long")
@@ -474,6 +505,46 @@ def test_archive_reads_any_selection(spark):
     assert got == {r.page_id: r.html for r in p.collect() if r.page_id % 3 == 0}
 
 
+def test_existing_archives_are_indexed_and_read(spark, tmp_path):
+    p = spark.read.parquet(f"{SF}/pages.parquet")
+    own = warc.write_warc(p, f"file://{tmp_path}/a", file_bytes=100_000)
+    key = lambda d: sorted((r.digest, r.file, r.offset, r.length) for r in d.collect())
+    found = warc.index_archive(spark, f"file://{tmp_path}/a")
+    assert key(found) == key(own) and found.select("file").distinct().count() > 1 and {r.type for r in found.collect()} == {"response"}
+    assert sorted(r.html for r in warc.read_records(found.where("offset > 0"), f"file://{tmp_path}/a").collect()) == sorted(r.html for r in warc.read_records(own.where("offset > 0"), f"file://{tmp_path}/a").collect())
+
+
+def test_records_of_all_kinds(spark, tmp_path):
+    import gzip
+
+    http = lambda head, body: b"HTTP/1.1 200 OK\r\nX-Broken line\r\n" + head + b"\r\n\r\n" + body
+    blocks = [
+        ("warcinfo", "application/warc-fields", b"software: x\r\n", b"software: x\r\n"),
+        ("response", "application/http; msgtype=response", http(b"Transfer-Encoding: chunked", b"3\r\nabc\r\n2;x=1\r\nde\r\n0\r\n\r\n"), b"abcde"),
+        ("response", "application/http;msgtype=response", http(b"Content-Encoding: gzip", gzip.compress(b"zipped")), b"zipped"),
+        ("response", "application/http;msgtype=response", http(b"Content-Encoding: odd", b"as it is"), b"as it is"),
+        ("resource", "text/plain", b"plain\r\n\r\nblock", b"plain\r\n\r\nblock"),
+    ]
+    raw = [b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Target-URI: <u:%d>\r\nNo colon here\r\nContent-Type: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k.encode(), i, t.encode(), len(b), b) for i, (k, t, b, _) in enumerate(blocks)]
+    (tmp_path / "plain.warc").write_bytes(b"".join(raw))
+    (tmp_path / "zipped.warc.gz").write_bytes(b"".join(map(gzip.compress, raw)))
+    for name in ("plain.warc", "zipped.warc.gz"):
+        found = warc.index_archive(spark, f"file://{tmp_path}/{name}")
+        rows = {r.url: r for r in warc.read_records(found, f"file://{tmp_path}").collect()}
+        assert [rows[f"u:{i}"].html.encode() for i in range(len(blocks))] == [b[3] for b in blocks]
+        assert sorted(r.type for r in found.collect()) == sorted(b[0] for b in blocks)
+
+
+def test_large_buckets_are_compared_in_blocks(spark):
+    """All pairs of a bucket, whatever its blocks."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 1 << 16, near_dup.BUCKETS).astype(np.uint16)
+    regs = np.where(rng.random((60, near_dup.BUCKETS)) < 0.75, base, rng.integers(1, 1 << 16, (60, near_dup.BUCKETS)).astype(np.uint16)).astype(np.uint16)
+    d = spark.createDataFrame([(1, 60, i, i % 7, 500, bytearray(r.tobytes())) for i, r in enumerate(regs)], "key long, size long, doc_id long, root long, n int, regs binary")
+    rows = lambda b: sorted((r.a, r.b) for r in near_dup._estimated_across(d, 0.5, b).collect())
+    assert rows(2048) == rows(7) == rows(1) and len(rows(7)) > 100
+
+
 def test_mix_hits_its_targets(spark, docs):
     n = docs.count()
     out = mixing.mix_sources(docs, {"src0": 3.0, "src1": 1.0}, epochs=2.0)
