@@ -74,9 +74,6 @@ def expected_collisions(n: int, m: int) -> float:
     """Buckets in which disjoint sets of n and m shingles are expected to have equal registers by chance."""
     if min(n, m) == 0:
         return 0.0
-    if max(n, m) > 1 << (P + 5):  # the closed form for many shingles a bucket
-        ratio = n / m
-        return 0.169919487159739093975315012348 * 2.0 ** (P - R) * 4 * ratio / (1 + ratio) ** 2 * 2
     total = 0.0
     steps = 1 << min(R, 6)  # intervals of equal mantissa are far finer; within one of these the density is even
     for z in range(1, 64 - P):
@@ -195,22 +192,32 @@ def _estimated(pairs: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(sized).select("a", "b", "ra", "rb", "na", "nb").mapInArrow(judge, ESTIMATED)
 
 
-def _estimated_across(members: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, estimate), a < b, of the likely pairs of members(key, doc_id, root, n, regs) that share a key and differ in root.
+#: Documents of a bucket that one task compares with each other, or with as many others.
+TOGETHER = 2048
 
-    A bucket's registers are compared where they lie; only pairs that pass leave the task."""
+
+def _estimated_across(members: DataFrame, threshold: float, block: int = TOGETHER) -> DataFrame:
+    """(a, b, estimate), a < b, of the likely pairs of members(key, size, doc_id, root, n, regs) that share a key and differ in root.
+
+    Registers are compared where they lie; only pairs that pass leave the task. A bucket of more than `block` documents is cut
+    into blocks, and each two of its blocks (and each with itself) meet in a group of their own, so that no task holds more
+    than two blocks and no pair is left out."""
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-
-        def compared(ids, root, n, regs) -> Iterator[pa.RecordBatch]:
-            for i in range(len(ids) - 1):
-                j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i])))
+        now = None
+
+        def compared(side, ids, root, n, regs) -> Iterator[pa.RecordBatch]:
+            apart = (side != side[0]).any()
+            filled = np.count_nonzero(regs, axis=1)
+            for i in np.flatnonzero(side == 0).tolist() if apart else range(len(ids) - 1):
+                j = np.flatnonzero(side == 1) if apart else np.arange(i + 1, len(ids))
+                j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) >= threshold * np.maximum(n[j], n[i]))]
                 if not len(j):
                     continue
                 # A bound without the correction first: it only lowers an estimate.
                 same = ((regs[j] == regs[i]) & (regs[i] > 0)).sum(axis=1)
-                j = j[same >= (threshold - MARGIN * 0.5 / np.sqrt(np.maximum(1, np.count_nonzero(regs[i])))) * np.count_nonzero(regs[i])]
+                j = j[same >= (threshold - MARGIN * 0.5 / np.sqrt(np.maximum(1, filled[i]))) * filled[i]]
                 if len(j):
                     value, buckets = estimate(np.broadcast_to(regs[i], (len(j), BUCKETS)), regs[j], np.full(len(j), n[i]), n[j])
                     good = _likely(value, buckets, threshold)
@@ -220,22 +227,30 @@ def _estimated_across(members: DataFrame, threshold: float) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                yield from compared(*(np.concatenate(x) for x in list(zip(*held, strict=True))[1:]))
+                side, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+                low, high = now[1:]
+                # Within one block there is one side; between two, both have to be there.
+                if low == high or len(np.unique(side)) == 2:
+                    yield from compared(side, *rest)
 
         for t in batches:
             if not t.num_rows:
                 continue
-            key, ids, root, n = (np.asarray(t.column(k)) for k in range(4))
-            regs = _registers(t.column(4))
-            cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key, low, high, side, ids, root, n = (np.asarray(t.column(k)) for k in range(7))
+            regs = _registers(t.column(7))
+            cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
             for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
-                if held and held[0][0] != key[x]:
+                if now != (key[x], low[x], high[x]):
                     yield from flush()
-                    held = []
-                held.append((key[x], ids[x:y], root[x:y], n[x:y], regs[x:y]))
+                    held, now = [], (key[x], low[x], high[x])
+                held.append((side[x:y], ids[x:y], root[x:y], n[x:y], regs[x:y]))
         yield from flush()
 
-    placed = members.select("key", "doc_id", "root", "n", "regs").repartition("key").sortWithinPartitions("key")
+    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    each = members.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    met = each.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
+    placed = met.select("key", "lo", "hi", "side", "doc_id", "root", "n", "regs").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return placed.mapInArrow(judge, ESTIMATED)
 
 
@@ -325,7 +340,7 @@ def _groups(ids: DataFrame, twice: DataFrame | None, threshold: float) -> DataFr
         roots = joined(roots, rest)
     # Then every pair of a bucket that is still in different components, whatever its head.
     placed = shared.select("key", "doc_id").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    mixed = placed.withColumn("lo", F.min("root").over(around)).withColumn("hi", F.max("root").over(around)).where("lo <> hi").select("key", "doc_id", "root")
+    mixed = placed.withColumns({"lo": F.min("root").over(around), "hi": F.max("root").over(around), "size": F.count("*").over(around)}).where("lo <> hi").select("key", "size", "doc_id", "root")
     mixed = saved(mixed, "mixed")
     tried = stars.select("a", "b")
     found = _estimated_across(mixed.join(regs, "doc_id"), threshold).groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
