@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytegrams import ORDER, Tally, load_tables, pieces, table_uri
+from .bytegrams import ORDER, Tally, pieces, scored
 from .work import drop, pruned, saved
 
-SHARDS = 64
+#: Distinct n-grams a shard, about, and the fewest shards.
+SHARD, SHARDS = 1 << 20, 64
 ROUNDS, BURN_IN, SAMPLES = 2, 3, 4
 STRENGTH = 1.0
 BASE = 1.0 / 256
@@ -341,7 +342,7 @@ def hierarchical_pitman_yor(counts: DataFrame, seed: int = 11) -> DataFrame:
     # Distinct (context of two, byte): how many restaurants of two bytes hold a dish; 65,536 rows at most.
     kinds = counts.select(F.col("code").bitwiseAND(0xFFFFFF).alias("c")).distinct().groupBy(F.col("c").bitwiseAND(low_mask).alias("c")).agg(F.count("*").alias("n")).collect()
     customers = {r["c"]: r["n"] for r in kinds}
-    shard = F.pmod(F.hash(F.shiftright("code", 8).bitwiseAND(low_mask)), F.lit(SHARDS)).alias("shard")
+    shard = F.pmod(F.hash(F.shiftright("code", 8).bitwiseAND(low_mask)), F.lit(max(SHARDS, -(-counts.count() // SHARD)))).alias("shard")
     dealt = counts.select("code", "n", F.lit(-1).alias("of"), shard)
     code = np.array(sorted(customers), np.uint64)
     low = Chain(code, np.array([customers[int(c)] for c in code], np.int64), 0, 1, np.zeros(0), seed)
@@ -390,20 +391,11 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     The model is fitted to the n-grams of all documents of `docs`; perplexity is per byte. Null and empty texts have
     0 bytes, log_prob 0 and no perplexity. A null doc_id stays null, repeated rows are scored (and counted) each, no rows
     give none, other columns are not read. Counts are added up within a partition before they are shuffled; texts
-    are never. Every worker loads the tables from the shared folder; load_tables refuses what is too large for it.
+    are not, unless the tables exceed bytegrams.WORKER_MB: then documents meet their n-grams' probabilities by joins.
     """
     base = pruned(docs, "doc_id", "text")
     counts = saved(gram_counts(base), "grams")
     tables = hierarchical_pitman_yor(counts)
     drop(counts)
-    uri = table_uri(tables)
-
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load_tables(uri)[""]
-        for b in batches:
-            for i, part in pieces(b.column(1)):
-                total, n = model.score(part)
-                per = np.exp(-total / np.maximum(1, n))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), pa.array(n), pa.array(total), pa.array(per, mask=n == 0)], names=["doc_id", "n_bytes", "log_prob", "perplexity"])
-
-    return base.mapInArrow(score, "doc_id bigint, n_bytes bigint, log_prob double, perplexity double")
+    found = scored(base, tables, ["doc_id"])
+    return found.select("doc_id", "n_bytes", "log_prob", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_prob") / F.col("n_bytes"))).alias("perplexity"))
