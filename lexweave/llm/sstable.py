@@ -167,24 +167,33 @@ class Reader:
                 yield id_of(k), self._ids(v)
 
 
+#: Shards that a partition of identifiers is meant to hold, where there are many; numbers of shards are STRIDE apart between partitions.
+PER_PARTITION, STRIDE = 64, 1 << 24
+
+
 def token_shards(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, shard_bytes: int = 32 << 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(shard, min_id, max_id, n_docs, n_tokens, n_blocks, sst): one row per sorted-string-table shard.
 
     Every row of docs(doc_id, text) with a doc_id is stored under it; repeated identifiers are stored once for each
-    row (all are found by a lookup), ordered by their tokens. Null text is stored as no tokens; rows with a null doc_id
-    cannot be looked up and are left out. Shards hold about `shard_bytes` of text and follow each other in key order.
-    Empty input gives no shards. Other columns are not read.
-
-    Identifiers are read first (a narrow scan) for the shards' boundaries; texts become token ids where they are
-    read, and only these move, once, to the shard's partition. `shard_bytes` bounds what one task holds.
+    row (all are found by a lookup), ordered by their tokens, and may run on into the next shard. Null text is stored as no
+    tokens; rows with a null doc_id cannot be looked up and are left out. A shard is closed once it holds `shard_bytes`
+    (1 at least), whatever the number of its documents; shards follow each other in key order, their numbers ascend with
+    gaps. Empty input gives no shards. Other columns are not read.
+
+    Identifiers are read first (a narrow scan) for the partitions' boundaries; texts become token ids where they are read, and
+    only these move, once, to the partition of their identifier, where shards are cut from the sorted stream: a task
+    holds one shard at a time.
     """
+    if shard_bytes < 1:
+        raise ValueError("shard_bytes must be at least 1")
     base = pruned(docs, "doc_id", "text").where("doc_id IS NOT NULL")
-    sizes = base.agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("c")).head()
+    sizes = base.agg(F.sum(F.length("text").cast("long")).alias("c")).head()
     shards = max(1, -(-int(sizes["c"] or 0) // shard_bytes))
+    parts = max(min(shards, 2 * docs.sparkSession.sparkContext.defaultParallelism), shards // PER_PARTITION)
     bounds: list[int] = []
-    if shards > 1:
-        probs = [i / shards for i in range(1, shards)]
-        bounds = base.agg(F.percentile_approx("doc_id", probs, F.lit(max(1000, 20 * shards))).alias("b")).head()["b"]
+    if parts > 1:
+        probs = [i / parts for i in range(1, parts)]
+        bounds = base.agg(F.percentile_approx("doc_id", probs, F.lit(max(1000, 20 * parts))).alias("b")).head()["b"] or []
     cuts = np.unique(np.array(bounds, np.int64))
     width = 2 if len(ranks(vocabulary)) <= 1 << 16 else 4
 
@@ -198,36 +207,41 @@ def token_shards(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, shard_by
                 values = [np.array(enc.encode_ordinary(t or ""), f"<u{width}").tobytes() for t in texts.slice(i, 256).to_pylist()]
                 part = ids[i : i + 256]
                 where = np.searchsorted(cuts, part, side="right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(part), pa.array(values, pa.binary())], names=["shard", "doc_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(part), pa.array(values, pa.binary())], names=["part", "doc_id", "v"])
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        now, w, lo, hi, tokens = None, None, 0, 0, 0
+        part, number, w, lo, hi, tokens, held = None, 0, None, 0, 0, 0, 0
 
         def done() -> pa.RecordBatch:
             sst = w.finish()
-            row = [[now], [lo], [hi], [w.n], [tokens], [len(w.index)], [sst]]
+            row = [[part * STRIDE + number], [lo], [hi], [w.n], [tokens], [len(w.index)], [sst]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, ARROW, strict=True)], names=NAMES)
 
         for b in batches:
-            for s, i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if s != now:
-                    if w:
-                        yield done()
-                    now, w, lo, tokens = s, Writer(width, block_bytes), i, 0
+            for p, i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if w and (p != part or held >= shard_bytes):
+                    yield done()
+                    w, number = None, number + 1
+                if p != part:
+                    part, number = p, 0
+                if w is None:
+                    w, lo, tokens, held = Writer(width, block_bytes), i, 0, 0
+                v = v.as_py()
                 w.add(key_of(i), v)
                 hi = i
                 tokens += len(v) // width
+                held += len(v) + 16
         if w:
             yield done()
 
-    coded = base.mapInArrow(encode, "shard int, doc_id bigint, v binary")
-    placed = coded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "v")
-    return placed.mapInArrow(build, "shard int, min_id bigint, max_id bigint, n_docs bigint, n_tokens bigint, n_blocks int, sst binary")
+    coded = base.mapInArrow(encode, "part int, doc_id bigint, v binary")
+    placed = coded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "v")
+    return placed.mapInArrow(build, "shard bigint, min_id bigint, max_id bigint, n_docs bigint, n_tokens bigint, n_blocks int, sst binary")
 
 
 NAMES = ["shard", "min_id", "max_id", "n_docs", "n_tokens", "n_blocks", "sst"]
-ARROW = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
 
 def write_shards(shards: DataFrame, folder: str) -> DataFrame:
@@ -250,6 +264,6 @@ def write_shards(shards: DataFrame, folder: str) -> DataFrame:
                 with store.open_output_stream(own) as f:
                     f.write(v.as_buffer())
                 store.move(own, to)
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([to]), pa.array([len(v.as_buffer())], pa.int64())], names=["shard", "path", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([to]), pa.array([len(v.as_buffer())], pa.int64())], names=["shard", "path", "bytes"])
 
-    return saved(shards.select("shard", "sst").mapInArrow(write, "shard int, path string, bytes bigint"), "sst-files")
+    return saved(shards.select("shard", "sst").mapInArrow(write, "shard bigint, path string, bytes bigint"), "sst-files")
