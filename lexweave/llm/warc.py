@@ -1,4 +1,5 @@
-"""WARC, index first: records are indexed where they are written, and read by coalesced ranges of sorted offsets."""
+"""WARC, index first: records are indexed where they are written, or by a scan of existing archives, and read by coalesced
+ranges of sorted offsets."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .work import new_path, pruned, saved
@@ -36,13 +37,125 @@ def record(page_id: int | None, url: str | None, html: bytes, digest: str) -> by
     return z.compress(raw) + z.flush()
 
 
-def payload(member: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and payload of a record."""
-    raw = zlib.decompress(member, 31)
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; lines that are none are passed over, folded ones belong to the line before."""
+    out: dict[str, str] = {}
+    last = ""
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            out.setdefault(last, value.strip())
+    return out
+
+
+def _unchunked(body: bytes) -> bytes:
+    out, i = [], 0
+    while (end := body.find(b"\r\n", i)) >= 0:
+        try:
+            n = int(body[i:end].split(b";")[0], 16)
+        except ValueError:
+            return body  # not chunked, whatever the header says
+        if n == 0:
+            break
+        out.append(body[end + 2 : end + 2 + n])
+        i = end + 4 + n
+    return b"".join(out)
+
+
+def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields (lower-case names) and payload of an uncompressed record: of HTTP messages the body, without chunks and
+    content encoding (kept as it is where it can't be undone), of other records the block."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    return fields, block.partition(b"\r\n\r\n")[2]
+    fields = _fields(head)
+    block = rest[: int(fields.get("content-length", len(rest)))]
+    if not fields.get("content-type", "").replace(" ", "").startswith("application/http"):
+        return fields, block
+    message, _, body = block.partition(b"\r\n\r\n")
+    http = _fields(message)
+    if "chunked" in http.get("transfer-encoding", "").lower():
+        body = _unchunked(body)
+    for kind in reversed([x.strip().lower() for x in http.get("content-encoding", "").split(",") if x.strip()]):
+        try:
+            body = zlib.decompress(body, {"gzip": 31, "x-gzip": 31, "deflate": 47}[kind])
+        except (KeyError, zlib.error):
+            break
+    return fields, body
+
+
+def payload(member: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields and payload of a stored record, compressed or not."""
+    return parsed(zlib.decompress(member, 31) if member[:2] == b"\x1f\x8b" else member)
+
+
+def members(stream, step: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, record) of each record of an archive file, compressed record by record or not at all; `stream.read(n)`
+    gives its bytes, and one record at a time is held."""
+    at, data = 0, stream.read(step)
+    while data:
+        if data[:2] == b"\x1f\x8b":
+            z, parts, size = zlib.decompressobj(31), [], 0
+            while True:
+                parts.append(z.decompress(data))
+                size += len(data)
+                if z.eof:
+                    break
+                data = stream.read(step)
+                if not data:
+                    raise ValueError(f"a record at {at} is cut off")
+            size -= len(z.unused_data)
+            data = z.unused_data or stream.read(step)
+            raw = b"".join(parts)
+        else:
+            while b"\r\n\r\n" not in data and (more := stream.read(step)):
+                data += more
+            if not data.strip():
+                return
+            end = data.find(b"\r\n\r\n")
+            if end < 0:
+                raise ValueError(f"no record at {at}")
+            size = end + 4 + int(_fields(data[:end]).get("content-length", 0)) + 4
+            while len(data) < size and (more := stream.read(max(step, size - len(data)))):
+                data += more
+            raw, data = data[:size], data[size:] or stream.read(step)
+            size = len(raw)
+        if raw.strip():
+            yield at, size, raw
+        at += size
+
+
+def index_archive(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, url, digest, file, offset, length, type, date) of every record of existing archives, without a word kept of
+    them: page_id is null, digest the SHA-256 of the payload (as `parsed`), url as the record's header has it. A file is one
+    task, which holds one record at a time; the index is a written table, and `read_records` reads any selection of it."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for uri in b.column(0).to_pylist():
+                store, name = fs.FileSystem.from_uri(uri if "://" in uri else re.sub("^file:/*", "file:///", uri))
+                rows = []
+                with store.open_input_stream(name, compression=None) as f:
+                    for at, size, raw in members(f):
+                        fields, body = parsed(raw)
+                        uri_ = fields.get("warc-target-uri")
+                        rows.append((None, uri_.strip("<>") if uri_ else None, hashlib.sha256(body).hexdigest(), name, at, size, fields.get("warc-type"), fields.get("warc-date")))
+                        if len(rows) == 4096:
+                            yield _index_rows(rows)
+                            rows = []
+                if rows:
+                    yield _index_rows(rows)
+
+    files = spark.read.format("binaryFile").load(path).select("path")  # no content is read
+    count = max(1, files.count())
+    return saved(files.repartition(min(count, 100_000)).mapInArrow(scan, INDEX + ", type string, date string"), "warc-index")
+
+
+def _index_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [*KINDS, pa.string(), pa.string()], strict=True)], names=[*NAMES, "type", "date"])
 
 
 def write_warc(pages: DataFrame, folder: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -150,16 +263,12 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     return placed.mapInArrow(read, "page_id bigint, url string, digest string, html string")
 
 
-def archive_and_read(pages: DataFrame, select: Callable[[DataFrame], DataFrame] = first_captures) -> DataFrame:
-    """(page_id, url, digest, html): pages written as WARC, then those records read back that `select` picks from the index.
-
-    By default one record for each distinct payload. Repeated rows are records of their own in the files.
+def archive_and_read(pages: DataFrame, select: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(page_id, url, digest, html): pages written as WARC, then those records read back that `select` picks from the index
+    (`first_captures` for one of each payload); by default all. Repeated rows are records of their own in the files.
     """
     index = write_warc(pages)
-    return read_records(select(index), index._lexweave_folder)
+    return read_records(select(index) if select else index, index._lexweave_folder)
 
 
-SQL = """
-SELECT page_id, url, sha256(html) AS digest, html FROM (
-  SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS FIRST, url NULLS FIRST) AS n FROM pages WHERE html IS NOT NULL)
-WHERE n = 1"""
+SQL = "SELECT page_id, url, sha256(html) AS digest, html FROM pages WHERE html IS NOT NULL"
