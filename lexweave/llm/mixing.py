@@ -11,32 +11,37 @@ from .work import packed, places, pruned, unpacked
 #: as small as they like, of 1/2**FINE, with decimal prefix sums.
 UNIT = 65536
 FINE = 48
-BUCKETS = 1024
+#: Buckets of identifiers are as many as keep about PER_BUCKET rows in each, and BUCKETS at least; SPREAD spreads regular ones.
+BUCKETS, PER_BUCKET, SPREAD = 1024, 65536, 1103515245
 
 
 def mix_sources(
-    docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 17, buckets: int = BUCKETS
+    docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 17, buckets: int | None = None
 ) -> DataFrame:
     """All columns of docs(doc_id, source, text, ...) and copy_no, a row for each copy drawn.
 
     A source of weight w gets about w / sum(weights) * epochs * rows of the input; by default w is the square root of
     the source's rows (a flattened mixture). A document of the source expects e copies, e = share / rows. Rows of a
-    source are ordered by (doc_id mod buckets, doc_id, text); with the prefix sums of e and one random offset u per
+    source are ordered by (bucket of doc_id, doc_id, text); with the prefix sums of e and one random offset u per
     source, a row is emitted once for each whole number that its interval (S - e + u, S + u] holds, copy_no from 1.
 
     The prefix sum is distributed: rows per (source, bucket) are counted in a narrow scan, their running sums give
     each bucket its start, and positions inside a bucket come from a window over (source, bucket); so a hot source
     is spread over all buckets and texts are shuffled once. Null sources are one source of their own (with a weight
     only by default); a null doc_id counts as bucket 0, first; repeated rows are rows like others; no rows give none.
-    A source that `weights` lacks has weight 0. All columns of the input stay; where one is called copy_no already, the
+    A source that `weights` lacks has weight 0; negative, infinite and NaN weights or epochs raise ValueError. All columns of the input stay; where one is called copy_no already, the
     copy's number, always the last column, is called copy_no_2 (or the next that is free).
     """
     fine = weights is not None
+    if not all(0 <= x < float("inf") for x in [epochs, *(weights or {}).values()]):
+        raise ValueError("weights and epochs must be finite and not negative")
     unit = 1 << FINE if fine else UNIT
+    buckets = buckets or max(BUCKETS, -(-docs.count() // PER_BUCKET))
     columns = docs.columns
     taken = {c.lower() for c in columns}
     number = next(n for n in ["copy_no", *(f"copy_no_{i}" for i in range(2, len(columns) + 3))] if n not in taken)
-    bucket = F.coalesce(F.pmod(F.col("doc_id"), F.lit(buckets)), F.lit(0).cast("long"))
+    spread = F.pmod(F.pmod(F.col("doc_id"), F.lit(1 << 31)) * F.lit(SPREAD), F.lit(1 << 31))
+    bucket = F.coalesce(F.shiftright(spread * F.lit(buckets), 31), F.lit(0).cast("long"))
     counts = pruned(docs, "doc_id", "source").select(F.col("source").alias("s"), bucket.alias("b")).groupBy("s", "b").agg(F.count("*").alias("c"))
     per_source = counts.groupBy("s").agg(F.sum("c").alias("n"))
     if weights is None:
@@ -73,12 +78,14 @@ def mix_sources(
     return unpacked(each, columns, F.col("_no").alias(number))
 
 
-def mix_sources_sql(table: str = "documents", seed: int = 17, buckets: int = BUCKETS, epochs: float = 1.0) -> str:
+def mix_sources_sql(table: str = "documents", seed: int = 17, epochs: float = 1.0) -> str:
     """The same rows, as DuckDB SQL, for the default weights."""
+    half = 1 << 31
+    bucket = f"coalesce((((doc_id % {half} + {half}) % {half}) * {SPREAD} % {half}) * (SELECT b FROM buckets) >> 31, 0)"
     return f"""
-WITH placed AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY coalesce(((doc_id % {buckets}) + {buckets}) % {buckets}, 0),
-    doc_id NULLS FIRST, text NULLS FIRST) AS k FROM {table}),
+WITH buckets AS (SELECT greatest({BUCKETS}, (count(*) + {PER_BUCKET - 1}) // {PER_BUCKET}) AS b FROM {table}),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY {bucket}, doc_id NULLS FIRST, text NULLS FIRST) AS k FROM {table}),
 per_source AS (SELECT source AS s, count(*) AS n FROM {table} GROUP BY 1),
 weighed AS (SELECT s, n, floor(sqrt(CAST(n AS DOUBLE)) * 1e6) AS w FROM per_source),
 every AS (SELECT sum(w) AS w_all, CAST(sum(n) AS DOUBLE) AS n_all FROM weighed),
