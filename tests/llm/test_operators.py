@@ -507,7 +507,7 @@ def test_archive_reads_any_selection(spark):
 
 def test_existing_archives_are_indexed_and_read(spark, tmp_path):
     p = spark.read.parquet(f"{SF}/pages.parquet")
-    own = warc.write_warc(p, f"file://{tmp_path}/a", file_bytes=100_000)
+    own = warc.write_warc(p, f"file://{tmp_path}/a", file_bytes=20_000)
     key = lambda d: sorted((r.digest, r.file, r.offset, r.length) for r in d.collect())
     found = warc.index_archive(spark, f"file://{tmp_path}/a")
     assert key(found) == key(own) and found.select("file").distinct().count() > 1 and {r.type for r in found.collect()} == {"response"}
