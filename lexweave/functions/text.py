@@ -31,6 +31,11 @@ def plain_text(elements: Column) -> Column:
     return F.array_join(F.transform(F.filter(elements, lambda e: e["kind"] == "t"), lambda e: e["text"]), "")
 
 
+def with_elements(df: DataFrame, elements: Column, to: str = "elements", plain: str = "plain") -> DataFrame:
+    """Sets a segment's elements, and its plain text with them."""
+    return df.withColumn(to, elements).withColumn(plain, plain_text(F.col(to)))
+
+
 def inline_codes(elements: Column) -> Column:
     return F.filter(elements, lambda e: e["kind"] == "c")
 
@@ -44,11 +49,14 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+#: Evaluated once, where it stands: else the optimizer would repeat it in what is made of it.
+_nfc = _nfc.asNondeterministic()
+
+
 def with_nfc(df: DataFrame, source: str, to: str) -> DataFrame:
-    """Adds the NFC form. Only rows that aren't ASCII go through Python; Spark would evaluate a UDF under `when` for all."""
-    ascii_only = F.coalesce(~F.col(source).rlike("[^\\x00-\\x7F]"), F.lit(True))
-    same = df.where(ascii_only).withColumn(to, F.col(source))
-    return same.unionByName(df.where(~ascii_only).withColumn(to, _nfc(F.col(source))))
+    """Adds the NFC form, in one pass: of rows that are ASCII only a null goes through Python."""
+    c = F.col(source)
+    return df.withColumn(to, F.coalesce(_nfc(F.when(c.rlike("[^\\x00-\\x7F]"), c)), c))
 
 
 def collapse(c: Column) -> Column:
@@ -80,12 +88,14 @@ def clusters(c: Column) -> Column:
 _PRIVATE = 0xF0000
 
 
-def graphemes_as_code_points(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replaces in each column every cluster of several code points by one private code point.
+def graphemes_as_code_points(df: DataFrame, columns: Sequence[str], where: Column | None = None) -> DataFrame:
+    """Replaces in each column every cluster of several code points by one private code point; rows that `where` rules out
+    are known to have none.
 
     The dictionary is made per row from the row's own columns, so it needs neither a broadcast nor a join: equal clusters of
     one row get equal code points, which is all that comparing the row's columns asks for."""
     many = F.array_distinct(F.flatten(F.array(*[clusters(F.col(c)) for c in columns])))
+    many = many if where is None else F.when(where, many).otherwise(F.array().cast("array<string>"))
 
     def encoded(c: str) -> Column:
         parts = F.regexp_extract_all(F.col(c), F.lit(r"(\X)"), F.lit(1))

@@ -152,6 +152,12 @@ pairs AS (SELECT o_custkey AS file_id, o_orderkey AS seg_no, cents, odd,
   'Order ' || o_orderkey || ' total ' || cents // 100 || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS source,
   'Commande ' || o_orderkey || CASE WHEN odd THEN '  total ' ELSE ' total ' END || CASE WHEN odd THEN (cents + 100) // 100 || '.' || lpad(CAST((cents + 100) % 100 AS VARCHAR), 2, '0') || ' '
     ELSE cents // 100 || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') END AS target FROM o)"""
+#: m: the merged runs of `coded`; b: their number, all of them, and the base format.
+RUNS_SQL = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
+r AS (SELECT doc_id, CASE WHEN i % 3 = 0 THEN '<b>' ELSE '' END AS rpr, t, i, i // 3 * 2 + CASE WHEN i % 3 = 0 THEN 0 ELSE 1 END AS run FROM l),
+m AS (SELECT doc_id, run, any_value(rpr) AS rpr, string_agg(t, '' ORDER BY i) AS text FROM r GROUP BY 1, 2),
+b AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n_runs, string_agg(rpr || text, '|' ORDER BY run) AS runs,
+  CASE WHEN coalesce(sum(length(text)) FILTER (rpr = '<b>'), 0) >= coalesce(sum(length(text)) FILTER (rpr = ''), 0) THEN '<b>' ELSE '' END AS base FROM m GROUP BY 1)"""
 GLOSSARY_SQL = r"""glossary AS (SELECT DISTINCT w AS source_term, reverse(w) AS target_term, w LIKE '%n' AS forbidden
   FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM benchmark) WHERE length(w) >= 4)"""
 FOUND_SQL = rf"""{PAIRS_SQL}, {GLOSSARY_SQL},
@@ -489,42 +495,15 @@ def workflow_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.stats(workflow.fill(q, m, translate.StubProvider(), workflow.Options(mt_fill=0.5)))
 
 
-@query(
-    f"""WITH {SENTENCES_SQL}, s AS (SELECT doc_id, seg_no, lang, plain, {NORM.format("plain")} AS norm, CASE WHEN seg_no % 2 = 1 THEN '[t] ' || plain END AS own FROM sentences),
-e AS (SELECT *, first_value(own IGNORE NULLS) OVER (PARTITION BY doc_id, lang, norm ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM s)
-SELECT doc_id, seg_no, coalesce(own, earlier) AS target_text, CASE WHEN own IS NULL AND earlier IS NOT NULL THEN 'exact' ELSE 'none' END AS origin FROM e"""
-)
-def workflow_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sentences(spark, sf_dir).select(
-        F.col("doc_id").alias("file_id"), "seg_no", F.col("lang").alias("src_lang"), F.lit("xx").alias("tgt_lang"), F.col("plain").alias("source_text"), F.when(F.col("seg_no") % 2 == 1, F.concat(F.lit("[t] "), "plain")).alias("target_text"),
-        F.lit("draft").alias("status"), F.lit("none").alias("origin"), F.lit(False).alias("is_locked"),
-    )
-    return workflow.with_exact_propagation(s).select(F.col("file_id").alias("doc_id"), "seg_no", "target_text", "origin")
-
-
 # Inline codes and exchange
 
 
-@query(
-    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
-r AS (SELECT doc_id, CASE WHEN i % 3 = 0 THEN '<b>' ELSE '' END AS rpr, t, i, i // 3 * 2 + CASE WHEN i % 3 = 0 THEN 0 ELSE 1 END AS run FROM l),
-m AS (SELECT doc_id, run, any_value(rpr) AS rpr, string_agg(t, '' ORDER BY i) AS text FROM r GROUP BY 1, 2)
-SELECT doc_id, CAST(count(*) AS INTEGER) AS n_runs, string_agg(rpr || text, '|' ORDER BY run) AS runs,
-  CASE WHEN coalesce(sum(length(text)) FILTER (rpr = '<b>'), 0) >= coalesce(sum(length(text)) FILTER (rpr = ''), 0) THEN '<b>' ELSE '' END AS base FROM m GROUP BY 1"""
-)
+@query(f"WITH {RUNS_SQL} SELECT doc_id, n_runs, runs, base FROM b")
 def runs_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = coded(spark, sf_dir).select("doc_id", inline.merge_runs(F.col("runs")).alias("merged"))
     return m.select("doc_id", F.size("merged").alias("n_runs"), F.array_join(F.transform("merged", lambda r: F.concat(r["rpr"], r["text"])), "|").alias("runs"), inline.base_format(F.col("merged")).alias("base"))
 
 
-@query()
-def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged runs as elements, serialised with placeholders, and encoded for machine translation."""
-    e = coded(spark, sf_dir).select("doc_id", inline.runs_to_elements(inline.merge_runs(F.col("runs"))).alias("e"))
-    s = e.select("doc_id", inline.serialize(F.col("e")).alias("s"), inline.encode_mt(F.col("e")).alias("mt"), X.plain_text(F.col("e")).alias("plain"))
-    return s.select("doc_id", "s.text", F.size("s.tags").alias("n_tags"), "mt", "plain")
-
-
 @query(
     f"""WITH {SENTENCES_SQL} SELECT doc_id, seg_no, '      <trans-unit id="seg-1' || CASE WHEN n > 1 THEN ':' || seg_no ELSE '' END || '" translate="yes">' || chr(10) || '        <source>' || e || '</source>' || chr(10) || '        <target state="new"></target>' || chr(10) || '      </trans-unit>' || chr(10) AS unit
 FROM (SELECT *, replace(replace(replace(replace(replace(plain, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS e FROM sentences)"""
@@ -543,3 +522,6 @@ def xliff_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "lineitem").select(F.get(names, (F.col("l_linenumber") % 6).cast("int")).alias("status")).distinct()
     state = exchange.xliff_state(F.col("status"))
     return s.select("status", state.alias("state"), exchange.status_of_state(state).alias("again"))
+
+
+from . import round_trips  # noqa: E402, F401  (adds its queries)

@@ -18,6 +18,14 @@ from ..functions.text import escape_xml
 from ..model import CLOSING, ELEMENTS, OPENING, STANDALONE, code, plain, text
 
 LANG = "{http://www.w3.org/XML/1998/namespace}lang"
+_TAG, _PREFIX = re.compile(r"<[^<>]*>"), re.compile(r"(?:^</?|\s)([A-Za-z_][\w.-]*):(?=[A-Za-z_])")
+
+
+def fragment(source: str) -> ET.Element:
+    """An element cut out of a file: prefixes that the file declared further up are declared around it; its text stays as it is."""
+    used = {p for t in _TAG.findall(source) for p in _PREFIX.findall(t)} - {"xml", "xmlns"}
+    declared = "".join(f' xmlns:{p}="urn:prefix:{p}"' for p in sorted(used))
+    return ET.fromstring(f"<r{declared}>{source}</r>")[0]
 
 # Inline codes
 
@@ -82,7 +90,7 @@ UNIT = (
 
 def parse_tu(source: str, srclang: str) -> dict:
     """One <tu> as a row of UNIT."""
-    e = ET.fromstring(source)
+    e = fragment(source)
     tuvs = [x for x in e if _local(x) == "tuv"]
     langs = [x.get(LANG) or x.get("lang") or "" for x in tuvs]
     s, t = resolve_languages(langs, srclang)
@@ -106,21 +114,37 @@ def parse_tu(source: str, srclang: str) -> dict:
 
 
 def _records(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    """Each <tag> of the files as XML of its own, read in parallel: files are cut at the records, never held whole."""
-    return spark.read.format("text").option("lineSep", f"</{tag}>").load(path).where(F.col("value").contains(f"<{tag}")).select(F.concat(F.regexp_extract("value", rf"(?s)(<{tag}[\s>].*)\z", 1), F.lit(f"</{tag}>")).alias("x"))
+    """(x, file, at): each <tag> of the files as XML of its own, read in parallel: files are cut at the records, never held whole.
+    Within a file `at` follows the records' order."""
+    rows = spark.read.format("text").option("lineSep", f"</{tag}>").load(path)
+    placed = rows.select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"))
+    own = placed.where(F.col("value").rlike(f"<{tag}[\\s>]"))
+    return own.select(F.concat(F.regexp_extract("value", rf"(?s)(<{tag}[\s>].*)\z", 1), F.lit(f"</{tag}>")).alias("x"), "file", "at")
+
+
+def source_languages(spark: SparkSession, path: str) -> DataFrame:
+    """(file, srclang) from the headers of TMX files, which are read tag by tag."""
+    tags = spark.read.format("text").option("lineSep", ">").load(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return tags.where(F.col("value").contains("<header")).groupBy("file").agg(F.first(F.regexp_extract("value", r"""srclang\s*=\s*["']([^"']*)["']""", 1)).alias("srclang"))
 
 
 def read_tmx(spark: SparkSession, path: str, srclang: str | None = None) -> DataFrame:
-    """The units of TMX files; srclang is that of the header unless given. A unit with fewer than two languages raises."""
+    """The units of TMX files with their file and place; srclang is that of each file's own header unless given. A unit with
+    fewer than two languages raises."""
+    units = _records(spark, path, "tu")
     if srclang is None:
-        head = spark.read.format("text").option("lineSep", "<body>").load(path).where(F.col("value").contains("<header")).select(F.regexp_extract("value", r'srclang="([^"]*)"', 1)).head()
-        srclang = head[0] if head and head[0] else "*all*"
+        units = units.join(source_languages(spark, path), "file", "left").withColumn("srclang", F.coalesce(F.nullif("srclang", F.lit("")), F.lit("*all*")))
+    else:
+        units = units.withColumn("srclang", F.lit(srclang))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([parse_tu(x, srclang) for x in b["x"]], columns=[c.split(" ")[0] for c in _names(UNIT)])
+            rows = [parse_tu(x, s) for x, s in zip(b["x"], b["srclang"], strict=True)]
+            yield pd.DataFrame(rows, columns=names, index=b.index).assign(file=b["file"], block=b["block"], row=b["row"])
 
-    return _records(spark, path, "tu").mapInPandas(parse, UNIT)
+    names = [c.split(" ")[0] for c in _names(UNIT)]
+    out = units.select("x", "srclang", "file", "at.*").mapInPandas(parse, UNIT + ", file string, block bigint, row bigint")
+    return out.withColumn("at", F.struct("block", "row")).drop("block", "row")
 
 
 def _names(schema: str) -> list[str]:
@@ -139,7 +163,7 @@ TRANS_UNIT = f"id string, is_locked boolean, state string, status string, source
 
 
 def parse_trans_unit(source: str) -> dict:
-    e = ET.fromstring(re.sub(r"(</?|\s)[A-Za-z_][\w.-]*:(?=[A-Za-z_])", r"\1", source))
+    e = fragment(source)
     find = lambda n: next((x for x in e if _local(x) == n), None)
     s, t = parse_inline(find("source")) or [], parse_inline(find("target"))
     state = (find("target").get("state") if find("target") is not None else None) or "new"
@@ -163,7 +187,7 @@ def read_xliff(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             yield pd.DataFrame([parse_trans_unit(x) for x in b["x"]], columns=[c.split(" ")[0] for c in _names(TRANS_UNIT)])
 
-    return _records(spark, path, "trans-unit").mapInPandas(parse, TRANS_UNIT)
+    return _records(spark, path, "trans-unit").select("x").mapInPandas(parse, TRANS_UNIT)
 
 
 # States and types
@@ -250,6 +274,11 @@ def xliff_files(units: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(body, "file_id", "left").select("file_id", F.concat(head, F.coalesce("body", F.lit("")), F.lit("    </body>\n  </file>\n</xliff>\n")).alias("xliff"))
 
 
+def write_xliff(files: DataFrame, path: str) -> None:
+    """Writes files(xliff), a part of the folder for each partition: each file is a document of its own."""
+    files.select(F.regexp_replace("xliff", r"\n\z", "").alias("value")).write.text(path)
+
+
 def tmx_time(c: Column) -> Column:
     return F.date_format(c, "yyyyMMdd'T'HHmmss'Z'")
 
@@ -268,18 +297,18 @@ def tmx_unit(tuid: Column, created: Column, by: Column, src_lang: Column, source
 
 def write_tmx(units: DataFrame, path: str, srclang: str, order: str = "tu_id") -> None:
     """Writes units(order, unit) as TMX part files, each a document of its own of consecutive units: written in parallel."""
-    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<tmx version="1.4">\n  <header creationtool="lexweave" creationtoolversion="1" segtype="sentence" o-tmf="lexweave" adminlang="en" srclang="{html.escape(srclang)}" datatype="plaintext"/>\n  <body>\n'
+    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<tmx version="1.4">\n  <header creationtool="lexweave" creationtoolversion="1" segtype="sentence" o-tmf="lexweave" adminlang="en" srclang="{html.escape(srclang)}" datatype="plaintext"/>\n  <body>'
 
     def wrap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = True
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"value": ([head] if first else []) + b["unit"].tolist()})
+                yield pd.DataFrame({"value": ([head] if first else []) + b["unit"].str.rstrip("\n").tolist()})
                 first = False
         if not first:
-            yield pd.DataFrame({"value": ["  </body>\n</tmx>\n"]})
+            yield pd.DataFrame({"value": ["  </body>\n</tmx>"]})
 
-    units.repartitionByRange(order).sortWithinPartitions(order).select("unit").mapInPandas(wrap, "value string").write.option("lineSep", "\0").text(path)
+    units.repartitionByRange(order).sortWithinPartitions(order).select("unit").mapInPandas(wrap, "value string").write.text(path)
 
 
 # TBX
@@ -290,7 +319,7 @@ _FORBIDDEN = {"deprecatedterm", "supersededterm"}
 
 def parse_concept(source: str) -> list[dict]:
     """The terms of one termEntry (or conceptEntry), a row each."""
-    e = ET.fromstring(source)
+    e = fragment(source)
     value = lambda x, kind: next((y.text for y in x.iter() if _local(y) in ("descrip", "termNote", "admin") and y.get("type") == kind), None)
     own = lambda x, kind: next((y.text for y in x if _local(y) == "descrip" and y.get("type") == kind), None)
     out = []
@@ -320,4 +349,4 @@ def read_tbx(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _names(CONCEPT)])
 
     old, new = (_records(spark, path, t) for t in ("termEntry", "conceptEntry"))
-    return old.unionByName(new).mapInPandas(parse, CONCEPT)
+    return old.select("x").unionByName(new.select("x")).mapInPandas(parse, CONCEPT)

@@ -27,32 +27,70 @@ def sentences(stream: DataFrame, text: str = "text", lang: str = "lang", id: str
     return segmentation.split_segments(rows, lang=lang).select(id, lang, "id", "part_no", "plain")
 
 
-def upsert_into(table: str, units: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+def once(stream: DataFrame, time: str, id: str = "doc_id", late: str = "10 minutes") -> DataFrame:
+    """The stream without rows delivered again within `late` of each other; state is dropped behind the watermark."""
+    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([id])
+
+
+#: Parts of a stored memory, by its key; a batch rewrites those that it touches.
+BUCKETS = 64
+
+
+def upsert_into(table: str, units: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: units(batch) are stored into the versioned Parquet table below `table`.
 
-    Each batch writes the whole next version and then names it in one small file; a batch that is repeated after a failure writes
-    its version again, so each batch counts once."""
+    A batch writes the next version of the buckets that its keys fall into, as one folder that counts once its _SUCCESS is there;
+    a batch that is repeated after a failure starts from the versions before it and writes its own again, so it counts
+    once. What nobody can need any more (versions before the one a repeat would start from) is deleted."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = current(spark, table, batch_id)
-        new = memory.prepared(units(batch))
-        merged = memory.upsert(new) if before is None else memory.stored(before, new)
-        merged.write.mode("overwrite").parquet(f"{table}/v{batch_id:08d}")
+        bucket = F.pmod(F.xxhash64(*memory.KEY), F.lit(buckets)).cast("int")
+        new = memory.prepared(units(batch)).withColumn("_bucket", bucket).persist()
+        try:
+            touched = [r["_bucket"] for r in new.select("_bucket").distinct().collect()]  # `buckets` at most
+            if not touched:
+                return
+            before = current(spark, table, batch_id, touched)
+            merged = memory.upsert(new.drop("_bucket")) if before is None else memory.stored(before, new.drop("_bucket"))
+            merged.withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{table}/v{batch_id:012d}")
+            fs, path = _files(spark, table)
+            for k, ids in _versions(spark, table).items():
+                for old in [i for i in ids if i < batch_id][:-1]:
+                    fs.delete(path(f"{table}/v{old:012d}/_bucket={k}"), True)
+        finally:
+            new.unpersist()
 
     return store
 
 
-def current(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete version (the newest before a batch)."""
+def _files(spark: SparkSession, table: str):
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(table)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(root))
-    done = [n for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(root, f"{n}/_SUCCESS")) and (before is None or int(n[1:]) < before)]
-    return spark.read.parquet(f"{table}/{done[-1]}") if done else None
+    path = jvm.org.apache.hadoop.fs.Path
+    return path(table).getFileSystem(conf), path
+
+
+def _versions(spark: SparkSession, table: str) -> dict[int, list[int]]:
+    """Of each bucket the batches that wrote it, in order; unfinished ones don't count."""
+    fs, path = _files(spark, table)
+    out: dict[int, list[int]] = {}
+    if fs.exists(path(table)):
+        for name in sorted(s.getPath().getName() for s in fs.listStatus(path(table))):
+            if name.startswith("v") and fs.exists(path(f"{table}/{name}/_SUCCESS")):
+                for s in fs.listStatus(path(f"{table}/{name}")):
+                    if s.getPath().getName().startswith("_bucket="):
+                        out.setdefault(int(s.getPath().getName()[8:]), []).append(int(name[1:]))
+    return out
+
+
+def current(spark: SparkSession, table: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """The newest version of each bucket (of the given ones; the newest before a batch); None if there is none."""
+    newest = {}
+    for k, ids in _versions(spark, table).items():
+        ids = [i for i in ids if before is None or i < before]
+        if ids and (buckets is None or k in buckets):
+            newest[k] = ids[-1]
+    return spark.read.parquet(*[f"{table}/v{i:012d}/_bucket={k}" for k, i in sorted(newest.items())]) if newest else None
 
 
 def start(stream: DataFrame, table: str, units: Callable[[DataFrame], DataFrame], checkpoint: str) -> DataStreamWriter:
