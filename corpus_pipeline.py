@@ -9,7 +9,7 @@ from lexweave.llm.mixing import mix_sources
 from lexweave.llm.near_dup import deduplicate
 from lexweave.llm.sstable import token_shards
 from lexweave.llm.toxicity import without_toxic
-from lexweave.llm.work import new_path
+from lexweave.llm.work import delete, new_path
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +46,15 @@ STAGES = [
     ("token_shards", stage_token_shards),
 ]
 
-#: SQL expresses neither the kernels' words nor the shards; tests hold each stage against a brute-force version.
+#: SQL expresses neither the kernels' words nor the shards: tests hold the stages against their operators, and each operator
+#: against a brute-force version, SQL or a round trip.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's result is written as Parquet in the shared folder and read again."""
+    """The last stage's rows; each stage's result is written as Parquet in the shared folder, read again by the next, and
+    deleted once that one's is written (the last one's input stays: its rows are yet to be computed from it)."""
+    before = None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
@@ -59,5 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = new_path(spark, f"stage-{name}")
             out.write.parquet(path)
             out = spark.read.parquet(path)
+            if before:
+                delete(spark, before)
+            before = path
         docs = out
     return docs

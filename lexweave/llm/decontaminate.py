@@ -17,7 +17,8 @@ PHRASE_WORDS = 8
 LEAST_WORDS = 5
 SHARD_CHARS = 1 << 21
 SAMPLE = 16
-#: Phrases loaded at a time; more are searched for in further rounds over the same index.
+#: Phrases loaded at a time; more are searched for in further rounds over the same texts, each with an index over the
+#: words of its own phrases.
 PART_PHRASES = 1 << 20
 
 
