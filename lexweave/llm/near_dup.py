@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import RADIX, Words, chunks, mix, shingles
-from .work import drop, packed, pruned, saved, sent_if_small, unpacked
+from .work import drop, packed, pruned, saved, sent_if_small, tidy, unpacked
 
 SHINGLE = 3
 THRESHOLD = 0.5
@@ -147,7 +147,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 cols = [b.column(0).slice(i, len(part)).take(pa.array(have)), _binary(digest), pa.array(count[have].astype(np.int32)), _binary(regs)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "n", "regs"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, digest binary, n int, regs binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(sign), "doc_id bigint, digest binary, n int, regs binary")
 
 
 def banded(sig: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def banded(sig: DataFrame) -> DataFrame:
                 keys = band_keys(_registers(b.column(1).slice(i, 2048)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, BANDS))], names=["key", "doc_id"])
 
-    return sig.select("doc_id", "regs").mapInArrow(band, "key bigint, doc_id bigint")
+    return sig.select("doc_id", "regs").mapInArrow(tidy(band), "key bigint, doc_id bigint")
 
 
 def _likely(value: np.ndarray, buckets: np.ndarray, threshold: float) -> np.ndarray:
@@ -189,7 +189,7 @@ def _estimated(pairs: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
     two = sig.select(F.col("doc_id").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb"))
     # Sets of very different size can't reach the threshold: |smaller| / |larger| bounds the Jaccard index.
     sized = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(float(threshold))
-    return pairs.join(one, "a").join(two, "b").where(sized).select("a", "b", "ra", "rb", "na", "nb").mapInArrow(judge, ESTIMATED)
+    return pairs.join(one, "a").join(two, "b").where(sized).select("a", "b", "ra", "rb", "na", "nb").mapInArrow(tidy(judge), ESTIMATED)
 
 
 #: Documents of a bucket that one task compares with each other, or with as many others.
@@ -251,7 +251,7 @@ def _estimated_across(members: DataFrame, threshold: float, block: int = TOGETHE
     each = members.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     met = each.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
     placed = met.select("key", "lo", "hi", "side", "doc_id", "root", "n", "regs").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return placed.mapInArrow(judge, ESTIMATED)
+    return placed.mapInArrow(tidy(judge), ESTIMATED)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -284,7 +284,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     members = docs.join(sent_if_small(dealt.withColumnRenamed("b", "doc_id")), "doc_id").select("a", "part", F.lit(False).alias("h"), F.col("doc_id").alias("b"), "text")
     first = docs.join(sent_if_small(heads.withColumnRenamed("a", "doc_id")), "doc_id").select(F.col("doc_id").alias("a"), "part", F.lit(True).alias("h"), F.col("doc_id").alias("b"), "text")
     rows = members.unionByName(first).repartition("a", "part").sortWithinPartitions("a", "part", F.desc("h"))
-    out = saved(rows.select("a", "h", "b", "text").mapInArrow(judge, "a bigint, b bigint"), "verified")
+    out = saved(rows.select("a", "h", "b", "text").mapInArrow(tidy(judge), "a bigint, b bigint"), "verified")
     drop(dealt)
     return out
 

@@ -67,7 +67,7 @@ class Writer:
 
     def __init__(self, width: int, block_bytes: int = BLOCK_BYTES):
         self.width, self.block_bytes = width, block_bytes
-        self.parts: list[bytes] = []
+        self.data = bytearray()
         self.index: list[tuple[bytes, int, int]] = []
         self.keys: list[bytes] = []
         self.at = self.size = self.n = 0
@@ -81,7 +81,8 @@ class Writer:
             while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
                 shared += 1
         head = _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:]
-        self.parts += [head, value]
+        self.data += head
+        self.data += value
         self.size += len(head) + len(value)
         self.last = key
         self.keys.append(key)
@@ -95,7 +96,8 @@ class Writer:
             self.at += self.size
             self.size = 0
 
-    def finish(self) -> bytes:
+    def finish(self) -> bytearray:
+        """The shard, in the buffer that it was written to: it isn't copied."""
         self._close()
         index = b"".join(_varint(len(k)) + k + _varint(o) + _varint(s) for k, o, s in self.index)
         distinct = list(dict.fromkeys(self.keys))
@@ -105,13 +107,17 @@ class Writer:
             bloom[np.array([_probes(k, bits) for k in distinct]).ravel()] = 1
         packed = np.packbits(bloom, bitorder="little").tobytes()
         foot = FOOTER.pack(self.at, len(index), self.at + len(index), len(packed), self.n, len(self.index), self.width, BLOOM_HASHES, MAGIC)
-        return b"".join([*self.parts, index, packed, foot])
+        self.data += index
+        self.data += packed
+        self.data += foot
+        return self.data
 
 
 class Reader:
     """Looks documents up in a shard: Bloom filter, binary search in the sparse index, then one block."""
 
-    def __init__(self, shard: bytes):
+    def __init__(self, shard: bytes | bytearray):
+        shard = bytes(shard)
         self.b = shard
         at, size, bloom_at, bloom_size, self.entries, blocks, self.width, self.hashes, magic = FOOTER.unpack(shard[-FOOTER.size :])
         if magic != MAGIC:
@@ -203,9 +209,9 @@ def token_shards(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, shard_by
         for b in batches:
             ids = np.asarray(b.column(0))
             texts = b.column(1)
-            for i in range(0, len(ids), 256):
-                values = [np.array(enc.encode_ordinary(t or ""), f"<u{width}").tobytes() for t in texts.slice(i, 256).to_pylist()]
-                part = ids[i : i + 256]
+            for i in range(0, len(ids), 64):
+                values = [np.array(enc.encode_ordinary(t or ""), f"<u{width}").tobytes() for t in texts.slice(i, 64).to_pylist()]
+                part = ids[i : i + 64]
                 where = np.searchsorted(cuts, part, side="right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(part), pa.array(values, pa.binary())], names=["part", "doc_id", "v"])
 
@@ -214,9 +220,11 @@ def token_shards(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, shard_by
         part, number, w, lo, hi, tokens, held = None, 0, None, 0, 0, 0, 0
 
         def done() -> pa.RecordBatch:
+            row = [[part * STRIDE + number], [lo], [hi], [w.n], [tokens], [len(w.index)]]
             sst = w.finish()
-            row = [[part * STRIDE + number], [lo], [hi], [w.n], [tokens], [len(w.index)], [sst]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, ARROW, strict=True)], names=NAMES)
+            ends = pa.py_buffer(np.array([0, len(sst)], np.int32))
+            one = pa.Array.from_buffers(pa.binary(), 1, [None, ends, pa.py_buffer(sst)])  # no copy
+            return pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(row, ARROW, strict=False)), one], names=NAMES)
 
         for b in batches:
             for p, i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -234,6 +242,8 @@ def token_shards(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, shard_by
                 held += len(v) + 16
         if w:
             yield done()
+        w = None
+        release()
 
     coded = base.mapInArrow(encode, "part int, doc_id bigint, v binary")
     placed = coded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "v")

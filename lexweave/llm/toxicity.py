@@ -409,6 +409,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES)
                     score, ids, _ = model.value.score(part, steps)
                     flags[k + i : k + i + len(part)] = toxic_flags(score, ids)
             yield b.filter(pa.array(~flags))
-        release()
 
     return through(docs, keep)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernels import release
+
 
 _OWN: list[str] = []
 
@@ -82,10 +84,20 @@ def _numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
+def tidy(f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, after which the worker gives freed memory back: it may wait idle while others need it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
+    return run
+
+
 def through(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """df with its rows replaced by those of f, which keeps the columns; their names may clash."""
     own = _numbered(df)
-    return own.mapInArrow(f, own.schema).toDF(*df.columns)
+    return own.mapInArrow(tidy(f), own.schema).toDF(*df.columns)
 
 
 def packed(df: DataFrame, **names: str) -> DataFrame:
