@@ -212,9 +212,12 @@ class Model:
 
     def vectors(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
         """Weights (1 + ln tf) idf of unit length."""
-        w = (1 + np.log(times)) * self.idf[term] if len(term) else np.zeros(0)
+        w = np.log(times, dtype=np.float32)
+        w += 1
+        w *= self.idf[term]
         norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=n))
-        return (w / np.maximum(norm[doc], 1e-300)).astype(np.float32) if len(term) else w
+        w /= np.maximum(norm, 1e-30).astype(np.float32)[doc]
+        return w
 
     def vote(self, near: np.ndarray, cos: np.ndarray) -> float:
         """Votes weighted by 1 / distance, with the prior as one vote from the greatest distance."""
@@ -335,12 +338,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> tuple[B
     n, df = _frequencies(docs, vocabulary)
     idf = np.maximum(1e-3, np.log((1 + n) / (1 + df)) + 1e-3)  # a term of all documents keeps a little
     idf *= emphasis(term, toxic[example], len(vocabulary))
-    model = Model(vocabulary, idf, None, float(toxic.mean()) if len(toxic) else 0.0)
+    model = Model(vocabulary, idf.astype(np.float32), None, float(toxic.mean()) if len(toxic) else 0.0)
     model.index = BlockMaxIndex(ids, toxic.astype(float), example, term, model.vectors(example, term, times, len(ids)), len(vocabulary))
     del example, term, times
     sc = docs.sparkSession.sparkContext
     given = sc.broadcast(model)
-    del model
+    del model, vocabulary, idf, df
     release()
 
     def votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
