@@ -300,7 +300,13 @@ def memory_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.lookup(test_queries(spark, sf_dir), built_memory(spark, sf_dir))
 
 
-@query()
+_GRAMS = r"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array({}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@query(f"""WITH {QUERY_SQL}, qg AS (SELECT query_id, {_GRAMS.format("norm")} AS g FROM q), ug AS (SELECT tu_id, {_GRAMS.format("source_norm")} AS g FROM memory WHERE src_lang = 'en'),
+common AS (SELECT query_id, tu_id, count(*) AS c FROM (SELECT query_id, unnest(g) AS x FROM qg) JOIN (SELECT tu_id, unnest(g) AS x FROM ug) USING (x) GROUP BY 1, 2),
+rated AS (SELECT query_id, tu_id, c::DOUBLE / (len(qg.g) + len(ug.g) - c) AS trigram FROM common JOIN qg USING (query_id) JOIN ug USING (tu_id))
+SELECT query_id, tu_id, trigram FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY trigram DESC, tu_id) AS r FROM rated WHERE trigram >= 0.7 * CAST(0.7 AS DOUBLE)) WHERE r <= 50""")
 def memory_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.trigram_candidates(test_queries(spark, sf_dir), built_memory(spark, sf_dir))
 
