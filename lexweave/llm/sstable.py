@@ -220,8 +220,8 @@ def token_shards(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, shard_by
         part, number, w, lo, hi, tokens, held = None, 0, None, 0, 0, 0, 0
 
         def done() -> pa.RecordBatch:
+            sst = w.finish()  # closes the last block
             row = [[part * STRIDE + number], [lo], [hi], [w.n], [tokens], [len(w.index)]]
-            sst = w.finish()
             ends = pa.py_buffer(np.array([0, len(sst)], np.int32))
             one = pa.Array.from_buffers(pa.binary(), 1, [None, ends, pa.py_buffer(sst)])  # no copy
             return pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(row, ARROW, strict=False)), one], names=NAMES)
