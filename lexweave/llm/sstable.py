@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import release
-from .tokenizers import DEFAULT_VOCABULARY, encoding, ranks
+from .tokenizers import DEFAULT_VOCABULARY, encoding, forget, ranks
 from .work import pruned
 
 MAGIC = b"LXWSST01"
@@ -173,8 +173,9 @@ class Reader:
                 yield id_of(k), self._ids(v)
 
 
-#: Shards that a partition of identifiers is meant to hold, where there are many; numbers of shards are STRIDE apart between partitions.
-PER_PARTITION, STRIDE = 64, 1 << 24
+#: Partitions of identifiers are as many as shards up to PARTITIONS; beyond, one holds up to PER_PARTITION shards. Numbers of
+#: shards are STRIDE apart between partitions.
+PARTITIONS, PER_PARTITION, STRIDE = 4096, 16, 1 << 24
 
 
 def token_shards(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, shard_bytes: int = 32 << 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -195,11 +196,11 @@ def token_shards(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, shard_by
     base = pruned(docs, "doc_id", "text").where("doc_id IS NOT NULL")
     sizes = base.agg(F.sum(F.length("text").cast("long")).alias("c")).head()
     shards = max(1, -(-int(sizes["c"] or 0) // shard_bytes))
-    parts = max(min(shards, 2 * docs.sparkSession.sparkContext.defaultParallelism), shards // PER_PARTITION)
+    parts = max(min(shards, PARTITIONS), shards // PER_PARTITION)
     bounds: list[int] = []
     if parts > 1:
         probs = [i / parts for i in range(1, parts)]
-        bounds = base.agg(F.percentile_approx("doc_id", probs, F.lit(max(1000, 20 * parts))).alias("b")).head()["b"] or []
+        bounds = base.agg(F.percentile_approx("doc_id", probs, F.lit(max(1000, 10 * parts))).alias("b")).head()["b"] or []
     cuts = np.unique(np.array(bounds, np.int64))
     width = 2 if len(ranks(vocabulary)) <= 1 << 16 else 4
 
@@ -214,6 +215,9 @@ def token_shards(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, shard_by
                 part = ids[i : i + 64]
                 where = np.searchsorted(cuts, part, side="right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(part), pa.array(values, pa.binary())], names=["part", "doc_id", "v"])
+        del enc
+        forget()
+        release()
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()

@@ -22,3 +22,9 @@ def encoding(path: str):
     import tiktoken
 
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens={})
+
+
+def forget() -> None:
+    """Drops what is kept of vocabularies: a worker that goes on to other work mustn't hold them."""
+    encoding.cache_clear()
+    ranks.cache_clear()
