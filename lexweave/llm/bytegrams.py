@@ -65,6 +65,9 @@ class Tally:
             # What stays distinct may itself be large: merging again waits until it has doubled.
             self.size = 0 if self.size > 2_000_000 else self.size
 
+    def held(self) -> int:
+        return sum(len(key) for key, _ in self.parts)
+
     def result(self) -> tuple[np.ndarray, np.ndarray]:
         return merged(self.parts) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 

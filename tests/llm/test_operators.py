@@ -6,8 +6,9 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from lexweave.llm import bpe_count, bytegrams, decontaminate, kneser_ney, mixing, near_dup, pitman_yor, queries, sstable, tokenizers, toxicity, warc
+from lexweave.llm import bpe_count, bytegrams, decontaminate, kneser_ney, mixing, near_dup, pitman_yor, queries, sstable, tokenizers, toxicity, warc, work
 from lexweave.llm.kernels import Words
 
 from ..comparing import same, views
@@ -303,6 +304,50 @@ def test_a_language_of_few_trusted_texts_has_a_threshold(spark):
     assert out[200].threshold is not None and not out[200].keep and out[101].keep
 
 
+def test_every_trusted_document_is_used(spark):
+    n = 20_400
+    # The rows that a bound of 20,000 by hash would leave out are those of a language.
+    last = spark.range(n).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64("doc_id").desc()).limit(300)
+    d = spark.range(n).select(F.col("id").alias("doc_id")).join(last.withColumn("lang", F.lit("de")), "doc_id", "left").select("doc_id", F.concat(F.when(F.col("lang") == "de", "ein anderer Text Nummer ").otherwise("a text number "), "doc_id").alias("text"), F.coalesce("lang", F.lit("en")).alias("lang"))
+    d = d.unionByName(spark.createDataFrame([(n, "%%%%### zq xx $$ @@ ~~ ^^ qqqqzzzzxxxx vvvvkkkk" * 40, "de")], d.schema))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    out = kneser_ney.quality(d, labels).where("lang = 'de'").collect()
+    assert len(out) == 301 and all(r.perplexity is not None and r.threshold is not None for r in out)
+    assert not next(r for r in out if r.doc_id == n).keep and sum(r.keep for r in out) >= 0.95 * 300
+    trusted = kneser_ney._trusted(d, labels)
+    assert {r.lang: (r.n, r.held) for r in trusted.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("held").alias("held")).collect()} == {"de": (300, 60), "en": (20_100, 4_020)}
+    assert trusted.select("doc_id").distinct().count() == n
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string", "decimal(9)"])
+def test_filter_of_identifiers_loses_none(spark, kind):
+    ids = work.saved(spark.range(0, 60_000, 7).select(F.col("id").cast(kind).alias("doc_id")), "ids")
+    d = spark.range(60_000).select(F.col("id").cast(kind).alias("doc_id"))
+    left = kneser_ney.likely(d, ids)
+    assert left.join(ids, "doc_id", "left_semi").count() == ids.count() and (kind == "decimal(9)" or left.count() < 2 * ids.count())
+    assert kneser_ney.likely(d, ids, most=13).join(ids, "doc_id", "left_semi").count() == ids.count()
+    assert kneser_ney.likely(d, work.saved(ids.withColumn("doc_id", F.col("doc_id").cast("double")), "ids")).count() == 60_000
+
+
+def test_values_at_ranks_equal_sorting(spark):
+    rng = np.random.default_rng(3)
+    by = {"a": rng.normal(size=3000).tolist(), "b": [1.5] * 7, "c": [-2.25], "d": rng.choice([0.1, 0.2], 100).tolist(), "e": [-0.0001, 0.0001]}
+    rows = work.saved(spark.createDataFrame([(k, v) for k, x in by.items() for v in x], "lang string, v double"), "values")
+    for cell in (F.floor(F.col("v") * 1024), F.lit(0)):
+        ranks = F.array_distinct(F.array(F.lit(1), F.ceil(F.col("c") * 0.7), F.col("c")))
+        got = {(r.lang, r.r): r.v for r in kneser_ney.at_ranks(rows, cell, ranks).collect()}
+        assert got == {(k, r): sorted(x)[r - 1] for k, x in by.items() for r in (1, math.ceil(len(x) * 0.7), len(x))}
+
+
+def test_counts_that_leave_in_lots(spark, docs):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        few, many = ({(r.lang, r.code): r.n for r in kneser_ney.gram_counts(docs, rows=k).collect()} for k in (1 << 40, 1000))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert few == many and len(few) > 1000
+
+
 def test_pitman_yor_sums_to_one_and_prefers_what_it_has_seen(spark):
     code, n = grams(spark, ["the cat sat on the mat"] * 20 + ["a dog ran off"] * 5)
     counts = spark.createDataFrame([(int(c), int(k)) for c, k in zip(code, n)], "code long, n long")
