@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import bounded, by_row
 from ..model import ELEMENTS, SEGMENTS
 from . import markup, office
 
@@ -55,25 +55,24 @@ def extract(files: DataFrame, content: str = "content", format: str | None = Non
     """files and, of each, `segments` (array) and `skeleton` (binary). The format is the given one, or that of the path.
 
     Malformed files fail the query, with the path in the message."""
-    kind = F.lit(format) if format else format_of(F.col("path"))
-    label = F.col("path") if "path" in files.columns else F.lit("")
-
-    def parse(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for data, names, paths in batches:
-            rows = []
-            for d, n, p in zip(data, names, paths, strict=True):
-                if d is None:
-                    rows.append((None, None))
-                    continue
-                try:
-                    segments, skeleton = FORMATS[n].parse(bytes(d) if not isinstance(d, str) else d.encode())
-                except Exception as e:
-                    raise ValueError(f"{n} file {p} can't be read: {e}") from e
-                rows.append((segments, skeleton if isinstance(skeleton, bytes) else skeleton.encode()))
-            yield pd.DataFrame({"segments": [r[0] for r in rows], "skeleton": [r[1] for r in rows]})
-
-    udf = F.pandas_udf(f"struct<segments:array<struct<{_struct()}>>,skeleton:binary>", F.PandasUDFType.SCALAR_ITER)(parse)
-    return files.withColumn("_x", udf(F.col(content), kind, label)).select(*files.columns, "_x.segments", "_x.skeleton")
+    bounded(files.sparkSession)
+
+    def parse(data, name: str, path: str) -> dict:
+        if data is None:
+            return {"segments": None, "skeleton": None}
+        try:
+            segments, skeleton = FORMATS[name].parse(data if isinstance(data, bytes) else data.encode())
+        except Exception as e:
+            raise ValueError(f"{name} file {path} can't be read: {e}") from e
+        segments = [{**s, "context": list(s["context"].items())} for s in segments]
+        return {"segments": segments, "skeleton": skeleton if isinstance(skeleton, bytes) else skeleton.encode()}
+
+    returns = f"struct<segments:array<struct<{_struct()}>>,skeleton:binary>"
+    if "path" in files.columns or not format:
+        made = by_row(parse, returns)(F.col(content), F.lit(format) if format else format_of(F.col("path")), F.col("path") if "path" in files.columns else F.lit(""))
+    else:  # of one argument, so that it runs in the worker that made the content
+        made = by_row(lambda data: parse(data, format, ""), returns)(F.col(content))
+    return files.withColumn("_x", made).select(*files.columns, "_x.segments", "_x.skeleton")
 
 
 def _struct() -> str:
@@ -85,24 +84,36 @@ def segments_of(extracted: DataFrame, *keep: str) -> DataFrame:
     return extracted.select(*keep, F.inline("segments"))
 
 
-def rebuild(skeletons: DataFrame, segments: DataFrame, format: str, key: str = "path", lang: str = "") -> DataFrame:
-    """(key, content): files built from skeletons(key, skeleton) and segments(key, id, source_elements, target_elements): the target
-    where there is one, else the source. One shuffle of the segments to their files."""
-    chosen = F.coalesce("target_elements", "source_elements")
-    ready = segments.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("id", chosen.alias("e")))).alias("_by"))
+def _build(format: str, lang: str):
+    """A file from a struct of its skeleton and its segments (id, elements)."""
     f = FORMATS[format]
 
-    def build(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for skeleton, by in batches:
-            out = []
-            for s, m in zip(skeleton, by, strict=True):
-                pairs = m.items() if hasattr(m, "items") else (m if m is not None else [])
-                by_id = {k: [dict(e) for e in v] for k, v in pairs}
-                out.append(f.rebuild(bytes(s) if f.binary else bytes(s).decode(), by_id, lang))
-            yield pd.Series(out)
+    def build(x: dict) -> bytes | None:
+        if x["skeleton"] is None:
+            return None
+        by_id = {s["id"]: s["e"] or [] for s in x["by"] or []}
+        return f.rebuild(x["skeleton"] if f.binary else x["skeleton"].decode(), by_id, lang)
+
+    return by_row(build, "binary")
+
 
-    udf = F.pandas_udf("binary", F.PandasUDFType.SCALAR_ITER)(build)
-    return skeletons.join(ready, key, "left").select(key, udf("skeleton", "_by").alias("content"))
+def rebuilt(extracted: DataFrame, elements: Callable[[Column], Column], format: str, lang: str = "", to: str = "content") -> DataFrame:
+    """`extracted` with files built from its own skeletons and segments, each with the elements that are made of it (a struct with
+    seg_no, id, elements): row by row, nothing is shuffled."""
+    bounded(extracted.sparkSession)
+    by = F.transform("segments", lambda s: F.struct(s["id"].alias("id"), elements(s).alias("e")))
+    return extracted.withColumn(to, _build(format, lang)(F.struct("skeleton", by.alias("by"))))
+
+
+def rebuild(skeletons: DataFrame, segments: DataFrame, format: str, key: str = "path", lang: str = "") -> DataFrame:
+    """(key, content): files built from skeletons(key, skeleton) and segments(key, id, source_elements, target_elements): the target
+    where there is one, else the source. One shuffle of the segments to their files, which are never broadcast; where segments
+    still lie with their file, `rebuilt` does without."""
+    bounded(skeletons.sparkSession)
+    chosen = F.coalesce("target_elements", "source_elements")
+    ready = segments.groupBy(key).agg(F.collect_list(F.struct("id", chosen.alias("e"))).alias("by"))
+    joined = skeletons.join(ready.hint("merge"), key, "left")
+    return joined.select(key, _build(format, lang)(F.struct("skeleton", "by")).alias("content"))
 
 
-__all__ = ["FORMATS", "SEGMENTS", "Format", "extract", "format_of", "read_files", "rebuild", "segments_of"]
+__all__ = ["FORMATS", "SEGMENTS", "Format", "extract", "format_of", "read_files", "rebuild", "rebuilt", "segments_of"]
