@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ FORMATS = {
     f.name: f
     for f in (
         Format("plaintext", ("txt",), "text/plain", markup.parse_plain, markup.rebuild_plain),
+        Format("plaintext-all", (), "text/plain", partial(markup.parse_plain, blank=True), markup.rebuild_plain),
         Format("html", ("html", "htm"), "text/html", markup.parse_html, markup.rebuild_html),
         Format("xml", ("xml",), "text/xml", markup.parse_xml, markup.rebuild_xml),
         Format("po", ("po",), "text/x-gettext-translation", markup.parse_po, markup.rebuild_po),
@@ -46,7 +48,7 @@ def format_of(path: Column) -> Column:
     """The format's name by extension; a path that no format claims raises an error when it is evaluated."""
     ext = F.lower(F.element_at(F.split(path, r"\."), -1))
     out = F.raise_error(F.concat(F.lit("no format for "), path)).cast("string")
-    for f in reversed(FORMATS.values()):
+    for f in [f for f in reversed(FORMATS.values()) if f.extensions]:
         out = F.when(ext.isin(*f.extensions), f.name).otherwise(out)
     return out
 

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from lexweave.functions import arrow
 from lexweave.plans import catalogue
 from lexweave.plans.round_trips import MAKERS
-from lexweave.sources import files, office
+from lexweave.sources import files, markup, office
+
+from .comparing import same, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,6 +57,15 @@ def test_values_of_nested_slices():
     assert arrow.values(a) == rows and arrow.values(a.slice(1)) == rows[1:] and arrow.values(a.slice(3, 1)) == rows[3:] and arrow.values(a.slice(4)) == []
 
 
+def test_plain_units_have_blank_chunks_as_the_sql_has(spark, tmp_path):
+    texts = ["", " ", "a\n\nb", "\n\na", "a\n\n", "a\n\n \n\nb", "a\r\n\r\n\r\nb", "\x0b", "\n", "a\n", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = views(SF)
+    con.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same(catalogue.plain_units(spark, str(tmp_path)), con.sql(catalogue.ORACLE_SQL["plain_units"]))
+    assert [s["plain"] for s in markup.parse_plain(b"\n\na\n\n \n\nb")[0]] == ["a", "b"]
+
+
 def test_archives_written_here_are_archives():
     parts = {"a/é.xml": "ü".encode() * 1000, "b.bin": b"", "c": b"\x00" * 10}
     with zipfile.ZipFile(io.BytesIO(office.write_zip(parts, lambda n: n == "c"))) as z:
