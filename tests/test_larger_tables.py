@@ -2,16 +2,20 @@
 batches are bounded by bytes."""
 
 import io
+import xml.etree.ElementTree as ET
 import zipfile
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.functions import arrow
+from lexweave.functions import arrow, sketch
+from lexweave.functions import text as X
+from lexweave.operators import memory
 from lexweave.plans import catalogue
 from lexweave.plans.round_trips import MAKERS
-from lexweave.sources import files, markup, office
+from lexweave.sources import exchange, files, markup, office
 
 from .comparing import same, views
 
@@ -71,3 +75,51 @@ def test_archives_written_here_are_archives():
     with zipfile.ZipFile(io.BytesIO(office.write_zip(parts, lambda n: n == "c"))) as z:
         assert z.testzip() is None and {n: z.read(n) for n in z.namelist()} == parts
         assert [i.compress_type for i in z.infolist()] == [zipfile.ZIP_DEFLATED, zipfile.ZIP_DEFLATED, zipfile.ZIP_STORED]
+
+
+def test_texts_are_split_once(spark):
+    p = plan(catalogue.sentence_split(spark, SF))
+    assert p.count(r"(?U)\S") == 1
+
+
+def test_texts_are_normalised_as_before(spark):
+    texts = ["\u00a0A  b\u2003c ", "e\u0301 X", "\t\x0b\x00É\n", "", "Å"]
+    got = [r.n for r in X.with_normalized(spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1), "t", "n").sort("i").collect()]
+    assert got == ["a b c", "é x", "é", "", "å"]
+
+
+def test_units_are_sorted_by_a_hash_first(spark):
+    first = [line.split("Sort [")[1].split("#")[0] for line in plan(memory.upsert(catalogue.units(spark, SF))).split("\n") if "Sort [" in line]
+    assert first and all(x in ("_h", "_groupingexpression") for x in first)
+
+
+def test_at_a_least_score_of_1_only_the_key_is_joined(spark):
+    u = memory.prepared(spark.createDataFrame([(1, "en", "xx", "A b", "t1"), (2, "en", "xx", "a c", "t2")], "tu_id long, src_lang string, tgt_lang string, source_text string, target_text string"))
+    q = memory.prepared(spark.createDataFrame([(7, "en", "xx", "a  B"), (8, "en", "xx", "")], "query_id long, src_lang string, tgt_lang string, source_text string"))
+    found = memory.fuzzy(q, u, 1.0)
+    assert "levenshtein" not in plan(found) and [(r.query_id, r.tu_id, r.score) for r in found.collect()] == [(7, 1, 1.0)]
+
+
+def test_sketches_of_pieces_are_those_of_the_whole():
+    texts = ["abc" * 50, "", None, "xyz" * 900, "ü", "w" * 5000, ""]
+    whole, most = sketch.bits([t or "" for t in texts]), sketch.MOST_CHARS
+    try:
+        for sketch.MOST_CHARS in (1, 100, 3000, 10**6):
+            assert (sketch._sketch.func(pd.Series(texts)).to_numpy() == whole).all()
+        assert len(sketch._sketch.func(pd.Series([], dtype=object))) == 0
+    finally:
+        sketch.MOST_CHARS = most
+
+
+def test_large_xliff_files_are_written_unit_by_unit(spark, tmp_path):
+    units = spark.range(2000).select((F.col("id") % 3).alias("file_id"), F.col("id").alias("seg_no"), exchange.trans_unit(F.col("id").cast("string"), F.lit(False), F.lit("translated"), F.concat(F.lit("s "), "id"), F.lit("t")).alias("unit"))
+    heads = spark.range(4).select(F.col("id").alias("file_id"), F.concat(F.lit("f & "), "id").alias("original"), F.lit("en").alias("src_lang"), F.lit("xx").alias("tgt_lang"), F.lit("text/plain").alias("mime"), F.lit("x").alias("skeleton_href"))
+    exchange.write_xliff_units(units, heads, f"file://{tmp_path}/x")
+    docs = [ET.fromstring(p.read_text()) for p in (tmp_path / "x").glob("part-*") if p.stat().st_size]
+    local = lambda e, n: [x for x in e.iter() if x.tag.endswith("}" + n)]
+    found = {}
+    for f in (f for d in docs for f in local(d, "file")):
+        found.setdefault(f.get("original"), []).append([int(u.get("id")) for u in local(f, "trans-unit")])
+    assert {k: sorted(i for part in v for i in part) for k, v in found.items()} == {f"f & {k}": [i for i in range(2000) if k < 3 and i % 3 == k] for k in range(4)}
+    assert all(part == sorted(part) for v in found.values() for part in v)
+    assert exchange.read_xliff(spark, f"file://{tmp_path}/x").count() == 2000
