@@ -6,13 +6,16 @@ from __future__ import annotations
 import html
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
+from ..functions.arrow import bounded, pieces
 from ..functions.inline import is_code, ordinals
 from ..functions.text import escape_xml
 from ..model import CLOSING, ELEMENTS, OPENING, STANDALONE, code, plain, text
@@ -116,6 +119,7 @@ def parse_tu(source: str, srclang: str) -> dict:
 def _records(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """(x, file, at): each <tag> of the files as XML of its own, read in parallel: files are cut at the records, never held whole.
     Within a file `at` follows the records' order."""
+    bounded(spark)
     rows = spark.read.format("text").option("lineSep", f"</{tag}>").load(path)
     placed = rows.select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"))
     own = placed.where(F.col("value").rlike(f"<{tag}[\\s>]"))
@@ -137,14 +141,23 @@ def read_tmx(spark: SparkSession, path: str, srclang: str | None = None) -> Data
     else:
         units = units.withColumn("srclang", F.lit(srclang))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = DataType.fromDDL(UNIT + ", file string, block bigint, row bigint")
+    out = units.select("x", "srclang", "file", "at.*").mapInArrow(_parsed(lambda b: [{**(t := parse_tu(x, g)), "metadata": list(t["metadata"].items()), "file": f, "block": k, "row": r} for x, g, f, k, r in zip(*(c.to_pylist() for c in b.columns), strict=True)], kind), kind)
+    return out.withColumn("at", F.struct("block", "row")).drop("block", "row")
+
+
+def _parsed(rows: Callable[[pa.RecordBatch], list[dict]], kind: DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of the rows that are made of each piece of a batch."""
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [parse_tu(x, s) for x, s in zip(b["x"], b["srclang"], strict=True)]
-            yield pd.DataFrame(rows, columns=names, index=b.index).assign(file=b["file"], block=b["block"], row=b["row"])
+            for part in pieces(tuple(b.columns)):
+                made = rows(pa.RecordBatch.from_arrays(list(part), b.schema.names))
+                if made:
+                    yield pa.RecordBatch.from_struct_array(pa.array(made, arrow))
 
-    names = [c.split(" ")[0] for c in _names(UNIT)]
-    out = units.select("x", "srclang", "file", "at.*").mapInPandas(parse, UNIT + ", file string, block bigint, row bigint")
-    return out.withColumn("at", F.struct("block", "row")).drop("block", "row")
+    return run
 
 
 def _names(schema: str) -> list[str]:
@@ -183,11 +196,8 @@ def parse_trans_unit(source: str) -> dict:
 def read_xliff(spark: SparkSession, path: str) -> DataFrame:
     """The trans-units of XLIFF 1.2 files: empty targets are null, translate="no" means locked."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([parse_trans_unit(x) for x in b["x"]], columns=[c.split(" ")[0] for c in _names(TRANS_UNIT)])
-
-    return _records(spark, path, "trans-unit").select("x").mapInPandas(parse, TRANS_UNIT)
+    kind = DataType.fromDDL(TRANS_UNIT)
+    return _records(spark, path, "trans-unit").select("x").mapInArrow(_parsed(lambda b: [parse_trans_unit(x) for x in b["x"].to_pylist()], kind), kind)
 
 
 # States and types
@@ -263,15 +273,22 @@ def trans_unit(id: Column, locked: Column, status: Column, source: Column, targe
     )
 
 
-def xliff_files(units: DataFrame, files: DataFrame) -> DataFrame:
-    """(file_id, xliff) from units(file_id, seg_no, unit) and files(file_id, original, src_lang, tgt_lang, mime, skeleton_href)."""
-    body = units.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "unit"))), lambda x: x["unit"]), "").alias("body"))
-    head = F.concat(
-        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<xliff version="1.2" xmlns="urn:oasis:names:tc:xliff:document:1.2" xmlns:lw="urn:lexweave">\n  <file original="'),
-        _esc(F.col("original")), F.lit('" source-language="'), _esc(F.col("src_lang")), F.lit('" target-language="'), _esc(F.col("tgt_lang")), F.lit('" datatype="'),
+_XLIFF = '<?xml version="1.0" encoding="UTF-8"?>\n<xliff version="1.2" xmlns="urn:oasis:names:tc:xliff:document:1.2" xmlns:lw="urn:lexweave">\n'
+
+
+def _xliff_head() -> Column:
+    """A <file> up to its units, of the columns of `files`."""
+    return F.concat(
+        F.lit('  <file original="'), _esc(F.col("original")), F.lit('" source-language="'), _esc(F.col("src_lang")), F.lit('" target-language="'), _esc(F.col("tgt_lang")), F.lit('" datatype="'),
         datatype(F.col("mime")), F.lit('">\n    <header>\n      <skl><external-file href="'), _esc(F.col("skeleton_href")), F.lit('"/></skl>\n    </header>\n    <body>\n'),
     )
-    return files.join(body, "file_id", "left").select("file_id", F.concat(head, F.coalesce("body", F.lit("")), F.lit("    </body>\n  </file>\n</xliff>\n")).alias("xliff"))
+
+
+def xliff_files(units: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_id, xliff) from units(file_id, seg_no, unit) and files(file_id, original, src_lang, tgt_lang, mime, skeleton_href): each
+    file as one text. Files that may outgrow a row are written by `write_xliff_units`."""
+    body = units.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "unit"))), lambda x: x["unit"]), "").alias("body"))
+    return files.join(body, "file_id", "left").select("file_id", F.concat(F.lit(_XLIFF), _xliff_head(), F.coalesce("body", F.lit("")), F.lit("    </body>\n  </file>\n</xliff>\n")).alias("xliff"))
 
 
 def write_xliff(files: DataFrame, path: str) -> None:
@@ -279,6 +296,33 @@ def write_xliff(files: DataFrame, path: str) -> None:
     files.select(F.regexp_replace("xliff", r"\n\z", "").alias("value")).write.text(path)
 
 
+def write_xliff_units(units: DataFrame, files: DataFrame, path: str) -> None:
+    """Writes what `xliff_files` makes, unit by unit: no file is ever held whole, however many units it has. Each part of the folder is
+    an XLIFF document of consecutive units; a file that spans parts has a <file> of the same name in each. Files without units have
+    an empty one."""
+    bounded(units.sparkSession)
+    heads = files.select("file_id", F.lit(None).cast(units.schema["seg_no"].dataType).alias("seg_no"), _xliff_head().alias("head"), F.lit(None).cast("string").alias("unit"))
+    rows = units.join(heads.select("file_id", "head"), "file_id").select("file_id", "seg_no", "head", "unit")
+    rows = rows.unionByName(heads.join(units.select("file_id").distinct(), "file_id", "left_anti"))
+
+    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, end = None, "    </body>\n  </file>"
+        for b in batches:
+            out = []
+            for key, head, unit in zip(b["file_id"].to_pylist(), b["head"].to_pylist(), b["unit"].to_pylist(), strict=True):
+                if now is None or now[0] != key:
+                    out += [_XLIFF.rstrip("\n") if now is None else end, head.rstrip("\n")]
+                    now = (key,)
+                if unit is not None:
+                    out.append(unit.rstrip("\n"))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([end, "</xliff>"], pa.string())], ["value"])
+
+    rows.repartitionByRange("file_id", "seg_no").sortWithinPartitions("file_id", "seg_no").mapInArrow(wrap, "value string").write.text(path)
+
+
 def tmx_time(c: Column) -> Column:
     return F.date_format(c, "yyyyMMdd'T'HHmmss'Z'")
 
@@ -299,16 +343,19 @@ def write_tmx(units: DataFrame, path: str, srclang: str, order: str = "tu_id") -
     """Writes units(order, unit) as TMX part files, each a document of its own of consecutive units: written in parallel."""
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<tmx version="1.4">\n  <header creationtool="lexweave" creationtoolversion="1" segtype="sentence" o-tmf="lexweave" adminlang="en" srclang="{html.escape(srclang)}" datatype="plaintext"/>\n  <body>'
 
-    def wrap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bounded(units.sparkSession)
+
+    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = True
         for b in batches:
-            if len(b):
-                yield pd.DataFrame({"value": ([head] if first else []) + b["unit"].str.rstrip("\n").tolist()})
+            if b.num_rows:
+                lines = ([head] if first else []) + [u.rstrip("\n") for u in b["unit"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
                 first = False
         if not first:
-            yield pd.DataFrame({"value": ["  </body>\n</tmx>"]})
+            yield pa.RecordBatch.from_arrays([pa.array(["  </body>\n</tmx>"], pa.string())], ["value"])
 
-    units.repartitionByRange(order).sortWithinPartitions(order).select("unit").mapInPandas(wrap, "value string").write.text(path)
+    units.repartitionByRange(order).sortWithinPartitions(order).select("unit").mapInArrow(wrap, "value string").write.text(path)
 
 
 # TBX
@@ -343,10 +390,6 @@ def parse_concept(source: str) -> list[dict]:
 def read_tbx(spark: SparkSession, path: str) -> DataFrame:
     """A row for each term of TBX files; terms.pair_concepts makes directed entries of them."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [r for x in b["x"] for r in parse_concept(x)]
-            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _names(CONCEPT)])
-
+    kind = DataType.fromDDL(CONCEPT)
     old, new = (_records(spark, path, t) for t in ("termEntry", "conceptEntry"))
-    return old.select("x").unionByName(new.select("x")).mapInPandas(parse, CONCEPT)
+    return old.select("x").unionByName(new.select("x")).mapInArrow(_parsed(lambda b: [r for x in b["x"].to_pylist() for r in parse_concept(x)], kind), kind)
