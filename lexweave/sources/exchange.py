@@ -19,6 +19,7 @@ from ..functions.arrow import bounded, pieces
 from ..functions.inline import is_code, ordinals
 from ..functions.text import escape_xml
 from ..model import CLOSING, ELEMENTS, OPENING, STANDALONE, code, plain, text
+from .scratch import drop, written
 
 LANG = "{http://www.w3.org/XML/1998/namespace}lang"
 _TAG, _PREFIX = re.compile(r"<[^<>]*>"), re.compile(r"(?:^</?|\s)([A-Za-z_][\w.-]*):(?=[A-Za-z_])")
@@ -256,13 +257,14 @@ def tmx_content(elements: Column) -> Column:
     codes = F.filter(elements, lambda e: e["kind"] == "c")
     ids = F.array_distinct(F.transform(codes, lambda e: e["code_id"]))
 
-    def one(e: Column) -> Column:
+    def one(e: Column, ids: Column) -> Column:
         n = F.array_position(ids, e["code_id"]).cast("string")
         tag = F.when(e["is_isolated"], "it").when(e["code_type"] == OPENING, "bpt").when(e["code_type"] == CLOSING, "ept").otherwise("ph")
         pos = F.when(~e["is_isolated"], "").when(e["code_type"] == OPENING, ' pos="begin"').otherwise(' pos="end"')
         return F.when(e["kind"] == "c", F.concat(F.lit("<"), tag, F.lit(' i="'), n, F.lit('"'), pos, F.lit(">"), _esc(e["data"]), F.lit("</"), tag, F.lit(">"))).otherwise(_esc(e["text"]))
 
-    return F.array_join(F.transform(elements, one), "")
+    # A lambda gets the identifiers as a value: named inside the other one they would be made again for each element.
+    return F.element_at(F.transform(F.array(F.struct(elements.alias("all"), ids.alias("ids"))), lambda x: F.array_join(F.transform(x["all"], lambda e: one(e, x["ids"])), "")), 1)
 
 
 def trans_unit(id: Column, locked: Column, status: Column, source: Column, target: Column) -> Column:
@@ -301,6 +303,7 @@ def write_xliff_units(units: DataFrame, files: DataFrame, path: str) -> None:
     an XLIFF document of consecutive units; a file that spans parts has a <file> of the same name in each. Files without units have
     an empty one."""
     bounded(units.sparkSession)
+    units = written(units.select("file_id", "seg_no", "unit"), "units")  # rendered once: sampling for the ranges reads its keys only
     heads = files.select("file_id", F.lit(None).cast(units.schema["seg_no"].dataType).alias("seg_no"), _xliff_head().alias("head"), F.lit(None).cast("string").alias("unit"))
     rows = units.join(heads.select("file_id", "head"), "file_id").select("file_id", "seg_no", "head", "unit")
     rows = rows.unionByName(heads.join(units.select("file_id").distinct(), "file_id", "left_anti"))
@@ -321,6 +324,7 @@ def write_xliff_units(units: DataFrame, files: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([end, "</xliff>"], pa.string())], ["value"])
 
     rows.repartitionByRange("file_id", "seg_no").sortWithinPartitions("file_id", "seg_no").mapInArrow(wrap, "value string").write.text(path)
+    drop(units)
 
 
 def tmx_time(c: Column) -> Column:
@@ -355,7 +359,9 @@ def write_tmx(units: DataFrame, path: str, srclang: str, order: str = "tu_id") -
         if not first:
             yield pa.RecordBatch.from_arrays([pa.array(["  </body>\n</tmx>"], pa.string())], ["value"])
 
+    units = written(units.select(order, "unit"), "units")  # rendered once: sampling for the ranges reads its keys only
     units.repartitionByRange(order).sortWithinPartitions(order).select("unit").mapInArrow(wrap, "value string").write.text(path)
+    drop(units)
 
 
 # TBX

@@ -123,3 +123,12 @@ def test_large_xliff_files_are_written_unit_by_unit(spark, tmp_path):
     assert {k: sorted(i for part in v for i in part) for k, v in found.items()} == {f"f & {k}": [i for i in range(2000) if k < 3 and i % 3 == k] for k in range(4)}
     assert all(part == sorted(part) for v in found.values() for part in v)
     assert exchange.read_xliff(spark, f"file://{tmp_path}/x").count() == 2000
+
+
+def test_identifiers_of_codes_are_made_once_for_all_elements(spark):
+    e = F.col("elements")
+    d = spark.range(1).select(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("text"), F.lit(i).alias("code_id"), F.lit(ct).alias("code_type"), F.lit("<b>").alias("data"), F.lit(False).alias("is_isolated")) for k, t, i, ct in (("c", None, "7", "opening"), ("t", "x", None, None), ("c", None, "7", "closing"), ("c", None, "3", "standalone"))]).alias("elements"))
+    out = d.select(exchange.tmx_content(e).alias("x"), exchange.tmx_content(F.when(F.lit(False), e)).alias("n"))
+    assert (out.head().x, out.head().n) == ('<bpt i="1">&lt;b&gt;</bpt>x<ept i="1">&lt;b&gt;</ept><ph i="2">&lt;b&gt;</ph>', None)
+    made = exchange.tmx_content(e)._jc.toString()
+    assert made.index("array_distinct") < made.index("array_join")
