@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..model import CLOSING, ELEMENTS, OPENING, STANDALONE, TAG, code, text
+from .arrow import by_row
 from .text import escape_xml
 
 RUN = "struct<rpr:string,text:string>"
@@ -147,15 +148,14 @@ def _dicts(x) -> list[dict]:
     return [] if x is None else [dict(e.asDict() if hasattr(e, "asDict") else e) for e in x]
 
 
-def _serialize(s: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for x in s:
-        rows = [(None, None) if v is None else serialize_elements(_dicts(v)) for v in x]
-        yield pd.DataFrame({"text": [r[0] for r in rows], "tags": [r[1] for r in rows]})
+def _serialize(elements: list[dict] | None) -> dict:
+    s, tags = (None, None) if elements is None else serialize_elements(elements)
+    return {"text": s, "tags": tags}
 
 
 def serialize(elements: Column) -> Column:
     """STRUCT<text, tags>; null for null."""
-    return F.pandas_udf(f"struct<text:string,tags:array<{TAG}>>", F.PandasUDFType.SCALAR_ITER)(_serialize)(elements)
+    return by_row(_serialize, f"struct<text:string,tags:array<{TAG}>>")(elements)
 
 
 def _deserialize(s: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -132,3 +132,9 @@ def test_identifiers_of_codes_are_made_once_for_all_elements(spark):
     assert (out.head().x, out.head().n) == ('<bpt i="1">&lt;b&gt;</bpt>x<ept i="1">&lt;b&gt;</ept><ph i="2">&lt;b&gt;</ph>', None)
     made = exchange.tmx_content(e)._jc.toString()
     assert made.index("array_distinct") < made.index("array_join")
+
+
+def test_placeholders_are_made_once_in_bounded_batches(spark):
+    spark.conf.unset(arrow.BATCH)
+    p = plan(catalogue.QUERIES["placeholders"](spark, SF))
+    assert p.count("ArrowEvalPython") == 1 and spark.conf.get(arrow.BATCH, None) == str(arrow.BATCH_BYTES)
